@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import op1_winnowing
+from .mixing import op7_sainte_lague
+from .suffix_dedup import op2_suffix_array
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op2_suffix_array": op2_suffix_array,
+    "op7_sainte_lague": op7_sainte_lague,
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
