@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Buckets for each block: what a bucket gathers is a fraction of a block.
+BUCKETS = 4
 BLOCK = "_block"
 
 

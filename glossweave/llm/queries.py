@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import op1_winnowing
+from .fm_dedup import op3_fm_index
 from .mixing import op7_sainte_lague
 from .suffix_dedup import op2_suffix_array
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_suffix_array": op2_suffix_array,
+    "op3_fm_index": op3_fm_index,
     "op7_sainte_lague": op7_sainte_lague,
 }
 
@@ -16,6 +18,17 @@ _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE_SQL = {
+    "op3_fm_index": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS t(i) WHERE len(w) >= 13),
+least AS (SELECT s, min(doc_id) AS m FROM windows GROUP BY s),
+late AS (SELECT r, i FROM windows JOIN least USING (s) WHERE m < doc_id),
+gone AS (SELECT DISTINCT r, p FROM late, unnest(range(i, i + 13)) AS t(p)),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+kept AS (SELECT d.r, array_to_string(list(w[t.p] ORDER BY t.p), ' ') AS s FROM d, unnest(range(1, len(w) + 1)) AS t(p) WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = d.r AND gone.p = t.p) GROUP BY d.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)
+""",
     "op1_winnowing": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '{_PLAIN}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '{_PLAIN}') AS w FROM benchmark),
