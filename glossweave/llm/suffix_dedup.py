@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import text as tx
-from .blocks import BLOCK, block_count, blocked, slices
+from .blocks import BLOCK, BUCKETS, block_count, blocked, slices
 
 LENGTH, GRAM = 200, 40
 HOT = 4096
 #: Suffixes that are sorted at once.
-SORTED_AT_ONCE = 400_000
+SORTED_AT_ONCE = 150_000
 PERIOD = 31
 #: A perfect difference set of period 31.
 COVER = (0, 1, 3, 8, 12, 18)
@@ -53,7 +53,8 @@ class Fragments:
         self.start = at[begin]
         self.count = np.diff(np.append(begin, len(at)))
         self.ahead = anchors[begin] - self.start
-        self.anchor = grams[anchors[begin]]
+        # mixed again: least hashes are all small, and buckets are ranges of hashes
+        self.anchor = tx.mix(grams[anchors[begin]])
         whole = rolling.ranges(self.start, self.start + self.count + (LENGTH - 1))
         self.whole = tx.mix(whole + self.ahead.astype(tx.U64))
 
@@ -117,19 +118,22 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """What is known of each fragment from the hashes of a bucket's fragments."""
-    (anchor, whole, many), ends = _joined(table, 2)
-    order, new = _groups(anchor, whole)
-    group = np.cumsum(new) - 1
-    total = np.bincount(group, weights=many[order]) >= 2
-    a = anchor[order][new]
-    start = np.concatenate([[True], a[1:] != a[:-1]])
-    kinds = np.bincount(np.cumsum(start) - 1)[np.cumsum(start) - 1]
-    status = np.where(kinds == 1, NONE, np.where(kinds <= HOT, SORT, SPLIT)) + total
-    out = np.empty(len(order), np.uint8)
-    out[order] = status[group]
-    return _answers(table, [x.tobytes() for x in np.split(out, ends[:-1])], 0)
+def _settle(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        """What is known of each fragment from the hashes of a bucket's fragments."""
+        (anchor, whole, many), ends = _joined(table, 2)
+        order, new = _groups(anchor, whole)
+        group = np.cumsum(new) - 1
+        total = np.bincount(group, weights=many[order]) >= 2
+        a = anchor[order][new]
+        start = np.concatenate([[True], a[1:] != a[:-1]])
+        kinds = np.bincount(np.cumsum(start) - 1)[np.cumsum(start) - 1]
+        status = np.where(kinds == 1, NONE, np.where(kinds <= hot, SORT, SPLIT)) + total
+        out = np.empty(len(order), np.uint8)
+        out[order] = status[group]
+        return _answers(table, [x.tobytes() for x in np.split(out, ends[:-1])], 0)
+
+    return _quiet(run)
 
 
 def _send(n: int):
@@ -336,7 +340,7 @@ def _cut(n: int, column: str):
     return run
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", column: str = "cut") -> DataFrame:
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", column: str = "cut", hot: int = HOT) -> DataFrame:
     """docs (without the text, which the result holds) with a column struct<n_bytes long, spans array<struct<start, stop>>, kept binary>.
 
     Every byte that a 200-byte string covers that starts anywhere else too, in the same document or another, is removed;
@@ -347,8 +351,9 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     n = block_count(docs, text)
     base = docs.drop(column).select("*", F.col(text).alias("t")).drop(text) if text != "t" else docs.drop(column)
     dealt = blocked(base, key, "t", n)
+    n *= BUCKETS
     asked = dealt.groupBy(BLOCK).applyInArrow(_ask(n), _ASK_DDL)
-    known = asked.groupBy("bucket").applyInArrow(_quiet(_settle), _ASK_DDL)
+    known = asked.groupBy("bucket").applyInArrow(_settle(hot), _ASK_DDL)
     sent = dealt.groupBy(BLOCK).cogroup(known.groupBy("block")).applyInArrow(_send(n), _ASK_DDL)
     sorted_ = sent.groupBy("kind", "bucket").applyInArrow(_answer, _ASK_DDL)
     kept = T.StructType([f for f in base.schema.fields if f.name != "t"])

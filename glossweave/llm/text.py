@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 
 

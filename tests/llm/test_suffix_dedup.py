@@ -41,7 +41,7 @@ def corpus(seed=1):
     return texts
 
 
-def simulated(texts, blocks=4, n=5):
+def simulated(texts, hot, blocks=4, n=5):
     """The steps without Spark."""
     docs = [pa.table({"_block": pa.array([b] * len(rows), pa.int32()), "i": [i for i, _ in rows], "t": pa.array([t for _, t in rows], pa.string())}) for b in range(blocks) if (rows := [(i, t) for i, t in enumerate(texts) if i % blocks == b])]
 
@@ -51,7 +51,7 @@ def simulated(texts, blocks=4, n=5):
             groups[tuple(row[k] for k in keys)].append(row)
         return {k: pa.Table.from_pylist(v, schema=sd._ASK) for k, v in groups.items()}
 
-    told = regroup([sd._quiet(sd._settle)(t) for t in regroup([sd._ask(n)(d) for d in docs], "bucket").values()], "block")
+    told = regroup([sd._settle(hot)(t) for t in regroup([sd._ask(n)(d) for d in docs], "bucket").values()], "block")
     empty = sd._ASK.empty_table()
     sent = [sd._send(n)(d, told.get((d["_block"][0].as_py(),), empty)) for d in docs]
     answers = regroup([sd._answer(t) for t in regroup(sent, "kind", "bucket").values()], "block")
@@ -65,11 +65,10 @@ def simulated(texts, blocks=4, n=5):
 
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_steps(hot, monkeypatch):
-    monkeypatch.setattr(sd, "HOT", hot)
     monkeypatch.setattr(sd, "SORTED_AT_ONCE", 3000)
     for seed in (1, 2):
         texts = corpus(seed)
-        assert simulated(texts) == brute(texts)
+        assert simulated(texts, hot) == brute(texts)
 
 
 def test_cover():
