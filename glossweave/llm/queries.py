@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_winnowing
 from .fm_dedup import op3_fm_index
+from .jaccard import op6_divide_skip
 from .mixing import op7_sainte_lague
 from .suffix_dedup import op2_suffix_array
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_suffix_array": op2_suffix_array,
     "op3_fm_index": op3_fm_index,
+    "op6_divide_skip": op6_divide_skip,
     "op7_sainte_lague": op7_sainte_lague,
 }
 
