@@ -5,15 +5,19 @@ from __future__ import annotations
 from .decontaminate import op1_winnowing
 from .fm_dedup import op3_fm_index
 from .jaccard import op6_divide_skip
+from .langid import op4_viterbi
 from .mixing import op7_sainte_lague
 from .suffix_dedup import op2_suffix_array
+from .toxicity import op8_ftrl
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_suffix_array": op2_suffix_array,
     "op3_fm_index": op3_fm_index,
+    "op4_viterbi": op4_viterbi,
     "op6_divide_skip": op6_divide_skip,
     "op7_sainte_lague": op7_sainte_lague,
+    "op8_ftrl": op8_ftrl,
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
