@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_winnowing
 from .fm_dedup import op3_fm_index
+from .html_extract import op9_tag_path_ratios
 from .jaccard import op6_divide_skip
 from .langid import op4_viterbi
 from .mixing import op7_sainte_lague
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_divide_skip": op6_divide_skip,
     "op7_sainte_lague": op7_sainte_lague,
     "op8_ftrl": op8_ftrl,
+    "op9_tag_path_ratios": op9_tag_path_ratios,
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
