@@ -8,6 +8,7 @@ from .html_extract import op9_tag_path_ratios
 from .jaccard import op6_divide_skip
 from .langid import op4_viterbi
 from .mixing import op7_sainte_lague
+from .ngram_lm import op5_backoff_automaton
 from .suffix_dedup import op2_suffix_array
 from .toxicity import op8_ftrl
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_suffix_array": op2_suffix_array,
     "op3_fm_index": op3_fm_index,
     "op4_viterbi": op4_viterbi,
+    "op5_backoff_automaton": op5_backoff_automaton,
     "op6_divide_skip": op6_divide_skip,
     "op7_sainte_lague": op7_sainte_lague,
     "op8_ftrl": op8_ftrl,
