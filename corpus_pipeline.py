@@ -1,7 +1,65 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: five stages, each one operator applied to all that the stage before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of the
+next one. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from glossweave.llm.blocks import checkpoint_dir
+from glossweave.llm.decontaminate import contamination, is_contaminated
+from glossweave.llm.jaccard import near_duplicates
+from glossweave.llm.langid import UNDETERMINED, predicted
+from glossweave.llm.mixing import mix
+from glossweave.llm.suffix_dedup import cut_repeats
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter have no language and go."""
+    return predicted(docs, column="_language").filter(F.col("_language.lang") != UNDETERMINED).select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays. Rows that share an id are one document."""
+    gone = near_duplicates(docs).filter("component_id != doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur twice or more are cut out of the texts; characters that a cut divides go whole."""
+    cut = cut_repeats(docs, column="_cut")
+    kept = F.col("_cut.kept").cast("string")
+    whole = F.when(F.is_valid_utf8(kept), kept).otherwise(F.regexp_replace(F.make_valid_utf8(kept), "�", ""))
+    rows = cut.withColumn("text", whole).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which windows of benchmark items cover a twentieth of the words or more go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = F.col("_contamination")
+    return contamination(docs, benchmark, column="_contamination").filter(~is_contaminated(hit["n_words"], hit["n_hit"])).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mix(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicate), ("repeated_strings", repeated_strings), ("decontamination", decontaminated), ("mixture", mixed)]
+
+#: The stages aren't expressible in SQL; tests hold the pipeline against plain versions of them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written to the shared folder and read again."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
