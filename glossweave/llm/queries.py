@@ -9,6 +9,7 @@ from .jaccard import op6_divide_skip
 from .langid import op4_viterbi
 from .mixing import op7_sainte_lague
 from .ngram_lm import op5_backoff_automaton
+from .search import op10_block_max_wand
 from .suffix_dedup import op2_suffix_array
 from .toxicity import op8_ftrl
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_sainte_lague": op7_sainte_lague,
     "op8_ftrl": op8_ftrl,
     "op9_tag_path_ratios": op9_tag_path_ratios,
+    "op10_block_max_wand": op10_block_max_wand,
 }
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
