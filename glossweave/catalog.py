@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import text as t
 from .operators import hierarchy, mappings, matching, merge, ranks, search
+from .sources import readers, sinks
+from .streaming import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -644,3 +646,88 @@ def lookup_report(table, spark):
     """Values counted by enum, with a total."""
     c = table("customer").join(F.broadcast(table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.rollup("n_name").agg(F.count("*").alias("n")).select(F.coalesce("n_name", F.lit("(total)")).alias("enum_key"), "n")
+
+
+# sources, reports and streams
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(url, '\\.html($|\\?)') THEN 'page' WHEN regexp_matches(url, '(?i)/en/') THEN 'english' WHEN regexp_matches(left(html, 200), '(?is)<html lang=.fr') THEN 'french' ELSE 'other' END AS kind FROM pages""")
+def source_detect_rules(table, spark):
+    """Kinds of sources by the first rule that matches URL or head."""
+    p = table("pages")
+    rules = [("url", r"\.html($|\?)", "page"), ("url", r"(?i)/en/", "english"), ("head", r"(?is)<html lang=.fr", "french")]
+    return p.select("page_id", readers.content_type(F.col("url"), F.substring("html", 1, 200), rules, "other").alias("kind"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_activity(table, spark):
+    """Events by hour and type; the same on a stream."""
+    return index.activity(table("events")).withColumn("total", F.round("total", 4))
+
+
+@query("""SELECT s_suppkey, CASE WHEN n_nationkey % 6 = 0 THEN 'territory' WHEN n_regionkey = 2 THEN 'sovereign' WHEN s_acctbal < 0 THEN 'disputed' WHEN s_suppkey % 2 = 0 THEN 'sovereign' ELSE 'unknown' END AS kind FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""")
+def sovereignty_rules(table, spark):
+    """Ordered rules over joined facts."""
+    s = table("supplier").join(F.broadcast(table("nation")), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    kind = F.when(F.col("n_nationkey") % 6 == 0, "territory").when(F.col("n_regionkey") == 2, "sovereign").when(F.col("s_acctbal") < 0, "disputed").when(F.col("s_suppkey") % 2 == 0, "sovereign").otherwise("unknown")
+    return s.select("s_suppkey", kind.alias("kind"))
+
+
+@query("""SELECT doc_id // 4 AS id, max(CASE WHEN lang = 'en' THEN left(text, 10) END) AS en, max(CASE WHEN lang = 'fr' THEN left(text, 10) END) AS fr FROM documents GROUP BY 1""")
+def locale_pivot(table, spark):
+    """A column of titles for each language."""
+    d = table("documents").select(F.floor(F.col("doc_id") / 4).alias("id"), "lang", F.substring("text", 1, 10).alias("title"))
+    return d.groupBy("id").pivot("lang", ["en", "fr"]).agg(F.max("title"))
+
+
+@query("""WITH r AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_partkey % 7 = 0), l AS (SELECT p_brand AS enum_key, list_sort(list(p_type)) AS ts FROM r GROUP BY 1)
+SELECT enum_key, CASE len(ts) WHEN 1 THEN ts[1] WHEN 2 THEN ts[1] || ' or ' || ts[2] ELSE array_to_string(ts[1 : len(ts) - 1], ', ') || ', or ' || ts[len(ts)] END || ' of ' || enum_key AS title FROM l""")
+def enum_title_synthesis(table, spark):
+    """Titles made of an enum's types."""
+    return ranks.titles(table("part").filter("p_partkey % 7 = 0").select(F.col("p_brand").alias("enum_key"), F.col("p_type").alias("type")))
+
+
+@query("""WITH y AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?:19|20)[0-9]{2}'), lambda x: CAST(x AS INTEGER)) AS ys FROM pages) SELECT page_id, list_max(ys) AS year FROM y""")
+def max_year(table, spark):
+    """The latest year that a page names."""
+    return table("pages").select("page_id", F.array_max(F.transform(F.regexp_extract_all("html", F.lit("(?:19|20)[0-9]{2}"), F.lit(0)), lambda x: x.cast("int"))).alias("year"))
+
+
+@query("""SELECT p_brand AS code, arg_max(p_name, p_partkey) AS title, min(p_partkey) AS ord FROM part GROUP BY 1""")
+def last_value_first_place(table, spark):
+    """Of repeated keys the last value at the first place."""
+    return merge.last_value_first_place(table("part").select(F.col("p_brand").alias("code"), F.col("p_name").alias("title"), F.col("p_partkey").alias("ord")), "code", "title", "ord")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_size, p_partkey) AS n FROM part) SELECT p_partkey, p_type, p_size FROM r WHERE n = 1""")
+def first_wins_dedup(table, spark):
+    """The first of keys that differ in case alone."""
+    return merge.first_wins(table("part").select("p_partkey", "p_type", "p_size"), F.lower("p_type"), ["p_size", "p_partkey"])
+
+
+@query("""SELECT p_brand AS enum_key, '{"name":"' || p_brand || '","rows":[' || string_agg('{"code":"' || p_partkey || '","title":"' || p_name || '"}', ',' ORDER BY p_partkey) || ']}' AS json FROM part GROUP BY 1""")
+def picklist_rows(table, spark):
+    """Enums as JSON texts."""
+    p = table("part").select(F.col("p_brand").alias("enum_key"), F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("title"))
+    return sinks.picklists(p.select("enum_key").distinct(), p)
+
+
+@query("""SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]+')[1] AS first FROM documents WHERE regexp_matches(text, '^[^.!?]+[.!?]')""")
+def first_sentence(table, spark):
+    """The first sentence of each text that has one."""
+    d = table("documents").filter(F.rlike("text", F.lit(r"^[^.!?]+[.!?]")))
+    return d.select("doc_id", F.element_at(F.regexp_extract_all("text", F.lit(r"[^.!?]+[.!?]+"), F.lit(0)), 1).alias("first"))
+
+
+@query("""WITH x AS (SELECT p_partkey, p_name || ' - ' || p_brand AS phrase FROM part), w AS (SELECT p_partkey, list_filter(string_split_regex(phrase, '[^A-Za-z0-9]+'), lambda x: x <> '') AS ws FROM x)
+SELECT p_partkey, array_to_string(list_transform(ws, lambda x: CASE WHEN len(x) > 1 AND upper(x) = x AND regexp_matches(x, '[A-Z]') THEN x ELSE upper(left(x, 1)) || lower(substr(x, 2)) END), '') AS key FROM w""")
+def pascal_keys(table, spark):
+    """Phrases as identifiers."""
+    return table("part").select("p_partkey", t.pascal_key(F.concat("p_name", F.lit(" - "), "p_brand")).alias("key"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN FALSE WHEN n_nationkey % 3 = 1 THEN TRUE ELSE FALSE END AS curie FROM nation""")
+def curie_test(table, spark):
+    """Which identifiers are CURIEs."""
+    n = table("nation")
+    text = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("http://x.org/"), "n_name")).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("N:"), "n_name")).otherwise(F.concat(F.lit(":"), "n_name"))
+    return n.select("n_nationkey", t.is_curie(text).alias("curie"))

@@ -81,3 +81,12 @@ def shared_tails(rows: DataFrame, pattern: str) -> DataFrame:
 def percent(part, whole):
     """Whole percent, 0 of nothing."""
     return F.when(whole > 0, F.floor(F.lit(100) * part / whole)).otherwise(F.lit(0)).cast("long")
+
+
+def titles(rows: DataFrame) -> DataFrame:
+    """`A, B, or C of enum` from the types of each enum."""
+    each = rows.groupBy("enum_key").agg(F.sort_array(F.collect_set("type")).alias("ts"))
+    n = F.size("ts")
+    many = F.concat(F.array_join(F.slice("ts", 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(", or "), F.element_at("ts", -1))
+    listed = F.when(n == 1, F.element_at("ts", 1)).when(n == 2, F.array_join("ts", " or ")).otherwise(many)
+    return each.select("enum_key", F.concat(listed, F.lit(" of "), "enum_key").alias("title"))
