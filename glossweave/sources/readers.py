@@ -190,3 +190,28 @@ def content_type(url: Column, head: Column, rules: list | tuple = DETECT, defaul
     for where, pattern, kind in reversed(rules):
         out = F.when(F.rlike(url if where == "url" else head, F.lit(pattern)), kind).otherwise(out)
     return out
+
+
+def linkml(docs: DataFrame) -> DataFrame:
+    """(url, enum_key, ord, code, title, description, is_a, status, meaning) of the enums of YAML schemas; others give nothing."""
+    import pandas as pd
+
+    names = ["url", "enum_key", "ord", "code", "title", "description", "is_a", "status", "meaning"]
+
+    def run(frames):
+        import yaml  # not a dependency of the other readers
+
+        for frame in frames:
+            rows = []
+            for url, content in zip(frame["url"], frame["content"], strict=True):
+                try:
+                    schema = yaml.safe_load(content or "")
+                except yaml.YAMLError:
+                    continue
+                enums = schema.get("enums") if isinstance(schema, dict) else None
+                for key, enum in (enums or {}).items():
+                    for i, (code, pv) in enumerate(((enum or {}).get("permissible_values") or {}).items()):
+                        rows.append((url, str(key), i, str(code), *(None if not (pv or {}).get(f) else str(pv[f]) for f in names[4:])))
+            yield pd.DataFrame(rows, columns=names)
+
+    return docs.select("url", "content").mapInPandas(run, "url string, enum_key string, ord int, code string, title string, description string, is_a string, status string, meaning string")

@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from glossweave.functions import text as t
-from glossweave.sources import readers, sinks
+from glossweave.operators import walks
+from glossweave.sources import providers, readers, sinks
 from glossweave.streaming import index
 
 
@@ -94,3 +95,22 @@ def test_functions(spark):
     assert one(t.dotted_key(F.lit("14.1.2.2"))) == [14, 1, 2, 2]
     assert one(t.bold_words(F.lit("Soil is soil"), ["soil"])) == "**Soil** is **soil**"
     assert one(F.struct(*t.language_literal(F.lit('"sol"@fr')))) == ("sol", "fr")
+
+
+def test_linkml(spark):
+    text = "enums:\n  Color:\n    permissible_values:\n      '1': {title: Red, meaning: 'x:1'}\n      2:\n  Empty:\n"
+    assert rows(readers.linkml(frame(spark, text, "a: [", "")), "enum_key", "ord", "code", "title", "meaning") == [("Color", 0, "1", "Red", "x:1"), ("Color", 1, "2", None, None)]
+
+
+def test_providers(spark):
+    d = spark.createDataFrame([("a",), (None,)], "x string")
+    assert sorted(r.y or "" for r in providers.asked(d, "x", "y", lambda t: [v.upper() for v in t]).collect()) == ["", "A"]
+    assert [r.y for r in providers.asked(d, "x", "y").collect()] == [None, None]
+
+
+def test_walks(spark):
+    edges = spark.createDataFrame([("g", "b", "a"), ("g", "c", "b"), ("g", "d", "a"), ("g", "c", "d"), ("g", "a", None), ("h", "x", "y"), ("h", "y", "x")], "grp string, child string, parent string")
+    got = walks.depth_first(edges).orderBy("grp", "position").collect()
+    assert [(r.code, r.parent, r.depth) for r in got] == [("a", None, 0), ("b", "a", 1), ("c", "b", 2), ("d", "a", 1), ("x", None, 0), ("y", "x", 1)]
+    nodes = spark.createDataFrame([("g", "a", None), ("g", "b", "minus"), ("g", "c", "include"), ("g", "d", None)], "grp string, code string, mark string")
+    assert sorted((r.code, r.is_a) for r in walks.subtree_filter(nodes, edges.filter("parent IS NOT NULL AND grp = 'g'")).collect()) == [("a", None), ("c", "a"), ("d", "a")]
