@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import text as t
-from .operators import hierarchy, mappings, matching, merge, ranks, search
+from .operators import hierarchy, mappings, matching, merge, ranks, search, upkeep
 from .sources import readers, sinks
 from .streaming import index
 
@@ -731,3 +731,110 @@ def curie_test(table, spark):
     n = table("nation")
     text = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("http://x.org/"), "n_name")).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("N:"), "n_name")).otherwise(F.concat(F.lit(":"), "n_name"))
     return n.select("n_nationkey", t.is_curie(text).alias("curie"))
+
+
+# upkeep
+
+@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^.*T.[A-Z].*$')")
+def wildcard_keys(table, spark):
+    """Keys that match a shell pattern."""
+    return upkeep.selected(table("part").select("p_partkey", "p_type"), "p_type", "*T?[A-Z]*")
+
+
+@query("""WITH w AS (SELECT DISTINCT word FROM (SELECT p_brand AS word FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT 'none') x)
+SELECT word, CASE WHEN word IN (SELECT p_brand FROM part) THEN 'source' WHEN word IN (SELECT n_name FROM nation WHERE n_nationkey < 9) THEN 'enum' ELSE 'unknown' END AS kind FROM w""")
+def lookup_arguments(table, spark):
+    """Which words are sources, which are enums."""
+    p, n = table("part"), table("nation")
+    words = p.select(F.col("p_brand").alias("word")).union(n.select("n_name")).union(spark.createDataFrame([("none",)], "word string")).distinct()
+    return upkeep.split_arguments(words, p.select(F.col("p_brand").alias("source_key")), n.filter("n_nationkey < 9").select(F.col("n_name").alias("enum_key")))
+
+
+@query("SELECT source AS source_key, doc_id FROM documents WHERE source NOT IN ('src1', 'src2')")
+def delete_source(table, spark):
+    """Rows without those of deleted sources."""
+    return upkeep.without_source(table("documents").select(F.col("source").alias("source_key"), "doc_id"), ["src1", "src2"])
+
+
+@query("SELECT CASE WHEN r_name = (SELECT min(r_name) FROM region) THEN 'NEW' ELSE r_name END AS key, CAST(r_regionkey AS INTEGER) AS ord, CASE WHEN r_name = (SELECT min(r_name) FROM region) THEN '2' ELSE 'v' || r_regionkey END AS version FROM region")
+def config_upsert(table, spark):
+    """A configuration entry renamed and set in its place."""
+    r = table("region")
+    first = r.agg(F.min("r_name")).first()[0]
+    return upkeep.renamed(r.select(F.col("r_name").alias("key"), F.col("r_regionkey").alias("ord"), F.concat(F.lit("v"), "r_regionkey").alias("version")), first, "NEW", {"version": "2"})
+
+
+@query("SELECT p_partkey AS code, CASE WHEN p_partkey % 3 = 0 THEN p_size * 100 ELSE p_size END AS rank FROM part")
+def rank_preservation(table, spark):
+    """Ranks that users gave kept over a refresh."""
+    p = table("part").select(F.col("p_partkey").alias("code"), F.col("p_size").alias("rank"))
+    return upkeep.refreshed(p, p.filter("code % 3 = 0").withColumn("rank", F.col("rank") * 100), "code", "rank")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'new ' || n_name ELSE 'old' END AS comments FROM nation")
+def registry_column_update(table, spark):
+    """A column replaced where the update says something."""
+    n = table("nation")
+    updates = n.select("n_nationkey", F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("new "), "n_name")).when(F.col("n_nationkey") % 4 == 1, " ").alias("comments"))
+    return upkeep.overwritten(n.select("n_nationkey", F.lit("old").alias("comments")), updates, "n_nationkey", "comments")
+
+
+@query("SELECT o_custkey AS header, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'historical' END AS status FROM orders GROUP BY 1")
+def historical_rollup(table, spark):
+    """Headers whose members are all historical."""
+    return upkeep.historical_headers(table("orders").select(F.col("o_custkey").alias("header"), F.when(F.col("o_orderstatus") == "F", "historical").alias("status")))
+
+
+@query("SELECT 'N' || n_nationkey AS iri, n_nationkey % 4 = 1 AS deprecated, CASE WHEN n_regionkey = 3 THEN 'OBSOLETE' WHEN n_nationkey % 4 = 1 THEN 'DEPRECATED' END AS status FROM nation")
+def obsolete_detection(table, spark):
+    """Nodes under the root of obsolete classes, and deprecated ones."""
+    n = table("nation")
+    iri = F.concat(F.lit("N"), "n_nationkey")
+    return upkeep.obsolete(n.select(iri.alias("iri"), (F.col("n_nationkey") % 4 == 1).alias("deprecated")), n.select(iri.alias("source"), F.concat(F.lit("R"), "n_regionkey").alias("target")), "R3")
+
+
+@query("""WITH u AS (SELECT p_brand AS code, max('made of tin') AS description, list_sort(list(DISTINCT split_part(p_type, ' ', 1))) AS us FROM part GROUP BY 1), n AS (SELECT code, description, list_filter(us, lambda x: NOT contains(lower(description), lower(x))) AS us FROM u)
+SELECT code, CASE WHEN len(us) > 0 THEN description || '; ' || array_to_string(us, ', ') ELSE description END AS description FROM n""")
+def set_concat_uses(table, spark):
+    """Uses joined to the descriptions that don't name them."""
+    return upkeep.joined_uses(table("part").select(F.col("p_brand").alias("code"), F.lit("made of tin").alias("description"), F.substring_index("p_type", " ", 1).alias("use")))
+
+
+@query("""WITH h AS (SELECT r_name AS enum_key, TRUE AS is_header, r_name AS code, 'region ' || r_name AS title, -1 AS ord FROM region UNION ALL SELECT r_name, FALSE, 'N' || n_nationkey, n_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT enum_key, CAST(row_number() OVER (PARTITION BY enum_key ORDER BY is_header DESC, ord) AS INTEGER) AS position, is_header, code, title FROM h""")
+def section_views(table, spark):
+    """Enums with their values below."""
+    r, n = table("region"), table("nation")
+    enums = r.select(F.col("r_name").alias("enum_key"), F.concat(F.lit("region "), "r_name").alias("title"), F.col("r_regionkey").alias("ord"))
+    pvs = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("enum_key"), F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("title"), F.col("n_nationkey").alias("ord"))
+    return upkeep.section_view(enums, pvs)
+
+
+@query("SELECT DISTINCT p_brand AS prefix, CASE WHEN right(p_brand, 1) = '1' THEN 'one' WHEN right(p_brand, 1) = '2' THEN 'two' ELSE 'default' END AS api FROM part")
+def api_router(table, spark):
+    """The API that serves a prefix."""
+    b = table("part").select(F.col("p_brand").alias("prefix")).distinct()
+    apis = b.filter("right(prefix, 1) = '1'").select(F.lit("one").alias("api"), F.lit(1).alias("ord"), F.upper("prefix").alias("prefix"))
+    apis = apis.unionByName(b.filter("right(prefix, 1) IN ('1', '2')").select(F.lit("two").alias("api"), F.lit(2).alias("ord"), "prefix"))
+    return upkeep.routed(b, apis, "default")
+
+
+@query("""WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) SELECT k, 'both' AS side FROM (SELECT k FROM o INTERSECT SELECT k FROM c) x UNION ALL SELECT k, 'left' FROM (SELECT k FROM o EXCEPT SELECT k FROM c) y UNION ALL SELECT k, 'right' FROM (SELECT k FROM c EXCEPT SELECT k FROM o) z""")
+def key_set_drift(table, spark):
+    """Keys on both sides, on the left and on the right alone."""
+    o, c = table("orders").select(F.col("o_custkey").alias("k")), table("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"))
+    side = lambda d, name: d.withColumn("side", F.lit(name))
+    return side(o.intersect(c), "both").union(side(o.subtract(c), "left")).union(side(c.subtract(o), "right"))
+
+
+@query("""SELECT source AS subject, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:3], ',') AS first FROM documents GROUP BY 1""")
+def catalog_groups(table, spark):
+    """Entries of a catalogue by subject."""
+    d = table("documents").groupBy(F.col("source").alias("subject"))
+    return d.agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("doc_id")), 1, 3).cast("array<string>"), ",").alias("first"))
+
+
+@query("SELECT CAST(max(p_partkey) + 1 AS BIGINT) AS next_id FROM part")
+def picklist_next_id(table, spark):
+    """The id of the next picklist."""
+    return table("part").agg((F.max("p_partkey") + 1).cast("long").alias("next_id"))
