@@ -334,7 +334,7 @@ def _cut(n: int, column: str):
                         cut = g.any()
                         rows.append((j - i, [{"start": x, "stop": y} for x, y in _spans(g).tolist()] if cut else [], data[i:j][~g].tobytes() if cut else data[i:j].tobytes()))
             new = pa.array([dict(zip(("n_bytes", "spans", "kept"), r, strict=True)) for r in rows], _RESULT)
-            names = [c for c in docs.column_names if c not in (BLOCK, "t")]
+            names = [c for c in docs.column_names if c not in (BLOCK, "_key", "t")]
             return pa.table([*(docs[c] for c in names), new], names=[*names, column])
 
     return run
@@ -349,16 +349,19 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     an empty table gives an empty one. A column of docs named like the new one is replaced.
     """
     n = block_count(docs, text)
-    base = docs.drop(column).select("*", F.col(text).alias("t")).drop(text) if text != "t" else docs.drop(column)
-    dealt = blocked(base, key, "t", n)
+    rest = [c for c in docs.columns if c not in (text, column)]
+    # the other columns travel as one, so that none can clash
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("t"))
+    dealt = blocked(base, "_key", "t", n)
     n *= BUCKETS
     asked = dealt.groupBy(BLOCK).applyInArrow(_ask(n), _ASK_DDL)
     known = asked.groupBy("bucket").applyInArrow(_settle(hot), _ASK_DDL)
     sent = dealt.groupBy(BLOCK).cogroup(known.groupBy("block")).applyInArrow(_send(n), _ASK_DDL)
     sorted_ = sent.groupBy("kind", "bucket").applyInArrow(_answer, _ASK_DDL)
-    kept = T.StructType([f for f in base.schema.fields if f.name != "t"])
-    schema = T.StructType([*kept.fields, T.StructField(column, T._parse_datatype_string("struct<n_bytes:bigint,spans:array<struct<start:bigint,stop:bigint>>,kept:binary>"))])
-    return dealt.groupBy(BLOCK).cogroup(sorted_.groupBy("block")).applyInArrow(_cut(n, column), schema)
+    cut = T._parse_datatype_string("struct<n_bytes:bigint,spans:array<struct<start:bigint,stop:bigint>>,kept:binary>")
+    schema = T.StructType([base.schema["_row"], T.StructField(column, cut)])
+    out = dealt.groupBy(BLOCK).cogroup(sorted_.groupBy("block")).applyInArrow(_cut(n, column), schema)
+    return out.select("_row.*", column)
 
 
 def _quiet(f):

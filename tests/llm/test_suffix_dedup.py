@@ -77,7 +77,7 @@ def test_cover():
 
 def test_spark(spark):
     texts = corpus(3)
-    docs = spark.createDataFrame([(i, t, "block", 1) for i, t in enumerate(texts)], "doc_id long, text string, _block2 string, t int").drop("t")
+    docs = spark.createDataFrame([(i, t, "block", 1) for i, t in enumerate(texts)], "doc_id long, text string, _block string, t int")
     rows = sd.cut_repeats(docs, column="cut").select("doc_id", "cut.n_bytes", F.octet_length("cut.kept").alias("k"), F.size("cut.spans").alias("s"), F.sha2("cut.kept", 256).alias("h")).collect()
     assert [(x.n_bytes, x.n_bytes - x.k, x.s, x.h) for x in sorted(rows)] == brute(texts)
     assert sd.cut_repeats(docs.limit(0)).count() == 0
