@@ -3,8 +3,8 @@
 1. Sets that could have a partner: with shingles in order of hash, linked documents share at least l(n) = n / 10 + 1 of
    their first n - ceil(0.8 n) + l(n). Blocks ask which of these shingles occur in two documents or more; documents with too
    few of them have no partner and are done.
-2. Equal sets become one. The others are dealt to groups so that any two sets that share one of their first
-   n - ceil(0.8 n) + 1 shingles at compatible sizes are of one group; groups share shards.
+2. Equal sets become one. The others are dealt to groups so that any two sets that could be linked, by the number of leading
+   shingles that they share, are of one group; groups share shards.
 3. Each shard builds an inverted index and searches it with each set: short lists are merged, counts reach T - L or the set
    is no candidate, the L long lists are probed by binary search, and sets that reach the overlap are linked. A group
    above SHARD_SHINGLES is split in parts, each part is searched in each.
@@ -28,8 +28,11 @@ SHINGLE = 5
 SHARD_SHINGLES = 1 << 20
 #: Similarity, as a fraction: SIMILAR / WHOLE.
 SIMILAR, WHOLE = 4, 5
-#: The cost of a binary probe against that of a step of the merge, DivideSkip's one constant.
-PROBE = 0.01
+#: What a step of the merge costs against a step of a binary probe, DivideSkip's one constant; merges are vectorised, probes go
+#: set by set, so about half of the overlap is left to the merge, which few sets reach that aren't linked.
+PROBE = 0.1
+#: Lists of more sets than this are long; pairs of a long list are not counted.
+LONG = 16
 
 
 def least_overlap(n):
@@ -137,24 +140,6 @@ def _quiet_pair(f):
     return run
 
 
-class Forest:
-    """Union-find over 0 .. n - 1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def link(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-
 def _leads(n: int):
     """Leading shingles of each document, packed by bucket."""
 
@@ -164,11 +149,13 @@ def _leads(n: int):
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_prefix(np.frombuffer(s, tx.U64), 1) for s in batch.column("shingles").to_pylist()]
+            sets = [np.frombuffer(s, tx.U64) for s in batch.column("shingles").to_pylist()]
+            whole = np.array([len(s) for s in sets], np.int64)
+            sets = [_prefix(s, _demand(len(s))) for s in sets]
             if not sets:
                 continue
             h, sizes = tx.mix(np.concatenate(sets)), [len(s) for s in sets]
-            ids, sizes_of = np.repeat(batch.column("k").to_numpy(), sizes), np.repeat(batch.column("n").to_numpy(), sizes)
+            ids, sizes_of = np.repeat(batch.column("k").to_numpy(), sizes), np.repeat(whole, sizes)
             order = np.argsort(h, kind="stable")
             h, ids, sizes_of = h[order], ids[order], sizes_of[order]
             for b, i, j in slices(h, n):
@@ -177,20 +164,58 @@ def _leads(n: int):
     return run
 
 
-def _chains(table: pa.Table) -> pa.Table:
-    """A forest over the documents of a bucket that share a leading shingle at sizes that can be linked."""
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64()), ("n", pa.int64())])
+PAIR, COUNT, ENTRY = range(3)
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Of a bucket's lists: pairs that short ones hold, with how often; how many long ones each document is in; and those."""
     payloads = table["payload"].to_pylist()
     h, ids, size = (np.concatenate([np.frombuffer(p, t, len(p) // 24, len(p) // 24 * 8 * k) for p in payloads]) for k, t in enumerate((tx.U64, np.int64, np.int64)))
     order = np.lexsort((ids, size, h))
     h, ids, size = h[order], ids[order], size[order]
-    near = (h[1:] == h[:-1]) & (least_overlap(size[1:]) <= size[:-1])
-    names, at = np.unique(ids, return_inverse=True)
-    forest = Forest(len(names))
-    for x, y in np.unique(np.stack([at[:-1][near], at[1:][near]], 1), axis=0).tolist():
-        forest.link(x, y)
-    roots = np.array([forest.root(x) for x in range(len(names))])
-    moved = roots != np.arange(len(names))
-    return pa.table({"u": names[moved], "v": names[roots[moved]]})
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    held = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h))))
+    a, b, less = [], [], []
+    for gap in range(1, LONG):
+        same = np.flatnonzero((h[gap:] == h[:-gap]) & (held[gap:] <= LONG) & (least_overlap(size[gap:]) <= size[:-gap]))
+        a.append(np.minimum(ids[same], ids[same + gap]))
+        b.append(np.maximum(ids[same], ids[same + gap]))
+        less.append(size[same])
+    a, b, less = np.concatenate(a), np.concatenate(b), np.concatenate(less)
+    order, new = _groups(a, b)
+    one = np.flatnonzero(new)
+    pairs = (a[order][one], b[order][one], less[order][one], np.diff(np.append(one, len(a))))
+    long_ = held > LONG
+    names, at, count = np.unique(ids[long_], return_index=True, return_counts=True)
+    counts = (names, np.zeros(len(names), np.int64), size[long_][at], count)
+    entries = (ids[long_], h[long_].view(np.int64), size[long_], np.ones(int(long_.sum()), np.int64))
+    kinds = np.repeat([PAIR, COUNT, ENTRY], [len(x[0]) for x in (pairs, counts, entries)])
+    return pa.table([pa.array(kinds, pa.int32()), *(pa.array(np.concatenate(c), pa.int64()) for c in zip(pairs, counts, entries, strict=True))], schema=_FOUND)
+
+
+def _candidate_links(sets: DataFrame, n: int) -> DataFrame:
+    """(u, v) links whose components hold any two sets that could be linked.
+
+    A linked pair shares at least l of its leading shingles, l that of the smaller set, so half of l in short lists or half
+    in long ones. For short lists the pairs are counted. A set with half of l in long lists, l that of the least
+    partner, is chained to one set for each of these lists and each band of sizes, and these to that of the next band.
+    """
+    half = lambda size: F.ceil((F.floor(size / 10) + 1) / 2)
+    found = checkpointed(sets.mapInArrow(_leads(n), "bucket int, payload binary").groupBy("bucket").applyInArrow(_quiet(_candidates), "kind int, a bigint, b bigint, size bigint, n bigint"))
+    pairs = found.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
+    near = pairs.filter(F.col("n") >= half(F.col("size"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    able = found.filter(F.col("kind") == COUNT).groupBy("a").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
+    able = able.filter(F.col("n") >= half(F.ceil(F.col("size") * SIMILAR / WHOLE))).select("a")
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(WHOLE / SIMILAR))).cast("int")
+    lists = found.filter(F.col("kind") == ENTRY).join(able, "a").select("a", "b", band.alias("band"))
+    heads = lists.groupBy("b", "band").agg(F.min("a").alias("v"))
+    stars = lists.join(heads, ["b", "band"]).select(F.col("a").alias("u"), "v")
+    after = heads.select("b", (F.col("band") - 1).alias("band"), F.col("v").alias("u"))
+    # sizes that differ by a quarter at most are of the same band or of neighbouring ones; one more for rounding
+    later = heads.select("b", (F.col("band") - 2).alias("band"), F.col("v").alias("u"))
+    steps = heads.join(after.union(later), ["b", "band"]).select("u", "v")
+    return near.union(stars).union(steps).filter("u != v").distinct()
 
 
 class Index:
@@ -218,10 +243,11 @@ class Index:
         short, long_ = at[: len(at) - n_long], at[len(at) - n_long :]
         n = self.first[short + 1] - self.first[short]
         merged = self.entries[np.repeat(self.first[short + 1] - np.cumsum(n), n) + np.arange(n.sum())] & 0xFFFFFFFF
-        found, count = np.unique(merged, return_counts=True)
+        counts = np.bincount(merged, minlength=len(self.sizes))
+        found = np.flatnonzero(counts >= max(need - n_long, 1))
         b = self.sizes[found]
-        able = (count >= need - n_long) & (b >= need) & (least_overlap(b) <= len(s))
-        found, count = found[able], count[able]
+        found = found[(b >= need) & (least_overlap(b) <= len(s))]
+        count = counts[found]
         pick = wanted(found)
         found, count = found[pick], count[pick]
         out = []
@@ -242,21 +268,16 @@ def _links(table: pa.Table) -> pa.Table:
     sets = [np.frombuffer(s, tx.U64) for s in table["shingles"].to_pylist()]
     asking = table["queries"].to_numpy(zero_copy_only=False)
     held = int((~asking).sum())
-    forest = Forest(len(sets))
+    label = np.arange(len(sets))  # the least set that links lead to so far
     if held:
         index = Index(sets[:held])
         for x in range(held, len(sets)) if held < len(sets) else range(held):
-            root = forest.root
-
-            def wanted(found: np.ndarray, x: int = x) -> np.ndarray:
-                own = root(x)
-                return np.array([y != x and root(y) != own for y in found.tolist()], bool)
-
-            for y in index.search(sets[x], wanted):
-                forest.link(x, y)
-    roots = np.array([forest.root(x) for x in range(len(sets))], np.int64)
-    moved = roots != np.arange(len(sets))
-    return pa.table({"u": ids[moved], "v": ids[roots[moved]]})
+            for y in index.search(sets[x], lambda found, x=x: label[found] != label[x]):
+                low, high = sorted((label[x], label[y]))
+                if low != high:
+                    label[label == high] = low
+    moved = label != np.arange(len(sets))
+    return pa.table({"u": ids[moved], "v": ids[label[moved]]})
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,9 +296,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     profile = checkpointed(dealt.groupBy(BLOCK).cogroup(known.groupBy("block")).applyInArrow(_profile(n), "k bigint, n bigint, digest binary, shingles binary"))
     rest = profile.filter("digest IS NOT NULL")
 
-    chained = rest.select("k", "n", "shingles").mapInArrow(_leads(n), "bucket int, payload binary").groupBy("bucket").applyInArrow(_quiet(_chains), "u bigint, v bigint")
-    group = components(chained)
-    classes = checkpointed(rest.groupBy("digest").agg(F.min("k").alias("k"), F.max("n").alias("n")))
+    classes = rest.groupBy("digest").agg(F.min("k").alias("k"), F.max("n").alias("n"))
+    one = checkpointed(rest.select("k", "digest", "shingles").join(classes.select("k", "digest"), ["k", "digest"]).select("k", "shingles"))
+    group = components(_candidate_links(one, n))
     dealt_to = classes.join(group.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     weights = dealt_to.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("members")).filter("members > 1")
     total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
@@ -288,7 +309,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spread = member.select("k", "root", "parts", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     shard = F.when(F.col("parts") > 1, F.concat_ws("-", "root", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins))))
     placed = spread.select("k", shard.alias("shard"), (F.col("part") > F.col("other")).alias("queries"))
-    one = rest.select("k", "digest", "shingles").join(classes.select("k", "digest"), ["k", "digest"]).select("k", "shingles")
     links = one.join(placed, "k").groupBy("shard").applyInArrow(_quiet(_links), "u bigint, v bigint")
     found = components(links)
 
