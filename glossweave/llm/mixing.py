@@ -20,7 +20,7 @@ from .blocks import checkpointed, plus
 WEIGHTS, CAP = (1, 2, 3), 3
 BLOCK_TOKENS = 64
 #: Documents in a shard, about.
-SHARD_DOCUMENTS = 20_000
+SHARD_DOCUMENTS = 500
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, cap: float = CAP) -> np.ndarray:
