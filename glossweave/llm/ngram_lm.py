@@ -5,7 +5,7 @@ failure arc, which costs the context's backoff weight, to the shorter context, d
 word. A text is scored in one traversal from left to right that carries the state and adds the log-probabilities up.
 
 The counts are those of the whole training corpus. Words count with half an occurrence added, the unseen word included.
-Longer n-grams, of words with at least FREQUENT of all tokens, are kept from KEPT occurrences on and discounted absolutely:
+Longer n-grams, of all words, are kept from KEPT occurrences on and discounted absolutely:
 P(w | c) = (count(c w) - DISCOUNT) / count(c) for a kept n-gram, plus backoff(c) P(w | shorter c) in any case, where
 backoff(c) is what the discounts leave. So the probabilities of all words add up to 1 in every state.
 """
@@ -24,11 +24,13 @@ from .langid import remainder
 from .suffix_dedup import _groups, _quiet, _table
 
 ORDER = 3
-#: Words with at least this share of all tokens make longer n-grams; so there are at most 1 / FREQUENT of them.
-FREQUENT = 1e-4
+#: Words with at least this share of all tokens make longer n-grams; 0: all words do, and none are broadcast.
+FREQUENT = 0.0
 KEPT, DISCOUNT = 2, 0.75
 END = tx.U64(0x1D8E4E27C47D124F)
 WORD, GRAM, CONTEXT = 1, 2, 3
+#: N-grams that a task counts before it sends them.
+COUNTED = 1 << 21
 
 _ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("payload", pa.binary())])
 _ROWS_DDL = "kind int, bucket int, block int, payload binary"
@@ -81,11 +83,10 @@ _WORDS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.float
 
 
 class Grams:
-    """The n-grams of frequent words in a chunk: for each order, where they end, their keys and their contexts' keys."""
+    """The n-grams in a chunk, of frequent words where these are given: for each order, where they end, their keys and their contexts' keys."""
 
-    def __init__(self, words: np.ndarray, first: np.ndarray, frequent: np.ndarray):
-        near = np.searchsorted(frequent, words)
-        self.often = frequent[np.minimum(near, len(frequent) - 1)] == words if len(frequent) else np.zeros(len(words), bool)
+    def __init__(self, words: np.ndarray, first: np.ndarray, frequent: np.ndarray | None):
+        self.often = np.ones(len(words), bool) if frequent is None else np.isin(words, frequent)
         left = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))  # words before in the document
         self.orders = []
         run = self.often
@@ -97,17 +98,34 @@ class Grams:
             self.orders.append((n, at, keys[at - n + 1], contexts[at - n + 1]))
 
 
+def _summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of (keys, contexts, counts), in order, with their contexts and the sums of their counts."""
+    keys, contexts, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], contexts[order[first]], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
 def _count_grams(n: int, frequent):
+    def rows(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, contexts, counts = _summed(parts)
+        yield from _table([(GRAM, b, 0, keys[i:j].tobytes() + contexts[i:j].tobytes() + counts[i:j].tobytes()) for b, i, j in slices(keys, n)], _ROWS).to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         with np.errstate(over="ignore"):
             for batch in batches:
                 data, offsets = tx.string_bytes(batch.column("t"))
-                grams = [Grams(*tokens(part, offs), frequent.value).orders for *_, part, offs in tx.chunks(data, offsets)]
-                keys = np.concatenate([k for o in grams for _, _, k, _ in o] or [np.zeros(0, tx.U64)])
-                contexts = np.concatenate([c for o in grams for *_, c in o] or [np.zeros(0, tx.U64)])
-                keys, one, count = np.unique(keys, return_index=True, return_counts=True)
-                rows = [(GRAM, b, 0, keys[i:j].tobytes() + contexts[one[i:j]].tobytes() + count[i:j].astype(np.float64).tobytes()) for b, i, j in slices(keys, n)]
-                yield from _table(rows, _ROWS).to_batches()
+                for *_, part, offs in tx.chunks(data, offsets):
+                    grams = Grams(*tokens(part, offs), frequent.value).orders
+                    parts.append(_summed([(k, c, np.ones(len(k))) for _, _, k, c in grams]))
+                    held += len(parts[-1][0])
+                    if held >= COUNTED:
+                        yield from rows(parts)
+                        parts, held = [], 0
+            if parts:
+                yield from rows(parts)
 
     return run
 
@@ -138,18 +156,20 @@ def _ask(n: int, frequent):
     return _quiet(run)
 
 
-def _asked(table: pa.Table, frequent: np.ndarray) -> dict[int, np.ndarray]:
+def _asked(table: pa.Table, frequent: np.ndarray | None) -> dict[int, np.ndarray]:
     """The keys that a block asks about, by kind."""
     data, offsets = tx.string_bytes(table["t"])
     words, keys, contexts = [], [], []
     for *_, part, offs in tx.chunks(data, offsets):
         w, first = tokens(part, offs)
         words.append(np.unique(w))
-        for _, _, k, c in Grams(w, first, frequent).orders:
+        for order, _, k, _ in Grams(w, first, frequent).orders:
             keys.append(np.unique(k))
-            contexts.append(np.unique(c))
+            if order < ORDER:
+                contexts.append(keys[-1])
     join = lambda x: np.unique(np.concatenate(x)) if x else np.zeros(0, tx.U64)
-    return {WORD: join(words), GRAM: join(keys), CONTEXT: join([*contexts, *([np.intersect1d(np.unique(np.concatenate(words)), frequent)] if words else []), *keys])}
+    every = join(words)
+    return {WORD: every, GRAM: join(keys), CONTEXT: join([*contexts, every if frequent is None else np.intersect1d(every, frequent)])}
 
 
 def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
@@ -258,7 +278,7 @@ def _score(n: int, frequent, total: float, vocabulary: int):
 
         data, offsets = tx.string_bytes(docs["t"])
         parts = [tokens(part, offs) for *_, part, offs in tx.chunks(data, offsets)]
-        contexts = np.intersect1d(words, frequent.value)
+        contexts = words[counts > 0] if frequent.value is None else np.intersect1d(words, frequent.value)
         states: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if len(contexts):
             mass = value[CONTEXT][np.searchsorted(asked[CONTEXT], contexts)]
@@ -283,7 +303,7 @@ def _score(n: int, frequent, total: float, vocabulary: int):
         for k in range(ORDER - 1):
             keys, context, last, suffix, count = found[k]
             order_ = k + 2
-            if order_ - 1 not in states:
+            if order_ - 1 not in states or not len(states[order_ - 1][0]):
                 break
             names_, own, back = states[order_ - 1]
             near = np.minimum(np.searchsorted(names_, context), len(names_) - 1)
@@ -370,7 +390,8 @@ def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> D
             yield pa.record_batch([pa.array(k[c >= FREQUENT * total].view(np.int64), pa.int64())], ["h"])
 
     # at most 1 / FREQUENT words
-    frequent = spark.sparkContext.broadcast(np.sort(words.select("payload").mapInArrow(often, "h bigint").toArrow()["h"].to_numpy().view(np.uint64)))
+    common = np.sort(words.select("payload").mapInArrow(often, "h bigint").toArrow()["h"].to_numpy().view(np.uint64)) if FREQUENT else None
+    frequent = spark.sparkContext.broadcast(common)
     grams = checkpointed(learn.mapInArrow(_count_grams(n, frequent), _ROWS_DDL).groupBy("bucket").applyInArrow(_sum_grams(n), _ROWS_DDL))
     model = words.select("kind", "bucket", F.lit(0).alias("block"), "payload").union(grams)
 

@@ -67,3 +67,19 @@ def test_nothing_to_learn(spark):
     x = lm.scored(docs, F.lit(False)).first()
     assert (x.n_tokens, x.n_known, x.train_tokens) == (3, 0, 0) and x.score == x.base_score == 0
     assert lm.scored(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_rare_words_have_ngrams(spark):
+    texts = [" ".join(["the"] * 4999)] * 12 + ["rare pair"] * 2  # two in 60,006 tokens
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, "rare pair")], "doc_id long, text string")
+    x = lm.scored(docs, F.col("doc_id") < 99).filter("doc_id = 99").first()
+    root = lambda n: (n + 0.5) / (60006 + 0.5 * 5)
+    held = lambda shorter: 1.25 / 2 + 0.75 / 2 * shorter
+    assert x.train_tokens == 60006
+    assert abs(x.score - math.log10(root(2) * held(root(2)) * held(held(root(14))))) < 1e-9
+
+
+def test_no_repeated_ngram(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "b a c")], "doc_id long, text string")
+    for x in lm.scored(docs, F.col("doc_id") == 1).collect():
+        assert abs(x.score - x.base_score) < 1e-9
