@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..plans.stages import kept
 
@@ -85,9 +88,29 @@ def last_parent(edges: DataFrame) -> DataFrame:
 def interval_parent(ranges: DataFrame) -> DataFrame:
     """Parent: the nearest interval before, by (start, -end), that holds this one. Rows: (grp, start, stop, code).
 
-    Each group is an ordered list of classes; the window holds the intervals of one group.
+    One pass over a group's sorted rows keeps a stack of intervals that can still hold later ones: their ends fall from
+    bottom to top, so there are never more than the group has distinct ends. Intervals without a start or an end hold nothing.
     """
-    w = Window.partitionBy("grp").orderBy("start", F.desc("stop"), "code").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list(F.struct("start", "stop", "code")).over(w)
-    holder = F.try_element_at(F.filter(before, lambda x: (x["start"] <= F.col("start")) & (x["stop"] >= F.col("stop"))), F.lit(-1))
-    return ranges.withColumn("is_a", holder["code"])
+    base = ranges.drop("is_a")
+    code = base.schema["code"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stack = None, []
+        for batch in batches:
+            parents = []
+            for grp, start, stop, name in zip(*(batch.column(c).to_pylist() for c in ("grp", "start", "stop", "code")), strict=True):
+                if grp != group:
+                    group, stack = grp, []
+                if start is None or stop is None:
+                    parents.append(None)
+                    continue
+                while stack and stack[-1][0] < stop:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack else None)
+                if stack and stack[-1][0] == stop:
+                    stack.pop()  # this one is nearer and ends at the same place
+                stack.append((stop, name))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parents, batch.schema.field("code").type)], [*batch.schema.names, "is_a"])
+
+    dealt = base.repartition("grp").sortWithinPartitions("grp", "start", F.desc("stop"), "code")
+    return dealt.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("is_a", code)]))
