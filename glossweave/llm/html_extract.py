@@ -2,9 +2,10 @@
 
 Every text node has a root-to-leaf path of tags (and class names). For each path the length and the punctuation of its
 nodes are summed and divided by their number; nodes get their path's ratios, which are smoothed along the page and fused
-by multiplying. Paths whose mean is over a threshold are content; the element that holds most of the content's text is the
-article, and its nodes are the text, small paragraphs and headings included. Elements that HTML or their names mark as
-navigation, notices, adverts, forms, comments and the like have no nodes at all.
+by multiplying, with a prior for what lies in article or main. The nodes of paths whose mean is over a threshold are the
+text, wherever they stand, with the headings of sections that have some of it, and lists, tables and quotations beside it
+that aren't mostly links. Elements that HTML or their names mark as navigation, notices, adverts, forms, comments and the
+like have no nodes at all; a name alone doesn't count where the element holds most of the page.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from .blocks import plus
 SMOOTH = (0.05, 0.25, 0.4, 0.25, 0.05)
 #: A path is content from this fraction of the mean fused ratio of a page's characters on.
 THRESHOLD = 0.25
+#: What the ratios in article and main are multiplied by.
+PRIOR = 4.0
+#: An element marked by its name alone isn't noise from this share of the page's text on.
+WRAPPER = 0.75
 
 #: Fixed values, by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,20 +45,23 @@ NOISE_WORDS = frozenset(
     "footer header masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations pagination pager copyright legal disclaimer search form toolbar".split()
 )
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+BESIDE = frozenset("ul ol dl table blockquote pre figure".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Za-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class Element:
-    __slots__ = ("parent", "tag", "noise", "path", "block", "depth")
+    __slots__ = ("parent", "tag", "noise", "named", "outer", "path", "block")
 
-    def __init__(self, parent: Element | None, tag: str, noise: bool, label: str):
-        self.parent, self.tag, self.noise = parent, tag, noise
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, parent: Element | None, tag: str, noise: bool, named: bool, label: str):
+        self.parent, self.tag, self.noise, self.named = parent, tag, noise, named
+        # the nearest element from this one up that its name marks
+        self.outer = self if named else parent.outer if parent else None
         self.block = self if parent is None or tag not in INLINE else parent.block
         self.path = (parent.path if parent else "") if tag in INLINE else (parent.path if parent else "") + "/" + label
 
@@ -62,16 +70,20 @@ def _element(parent: Element, tag: str, attributes: str) -> Element:
     noise, label = parent.noise or tag in NOISE, tag
     if tag == "header" and not _inside(parent, ("article", "main")):
         noise = True
-    for name, a, b, c in _NAMES.findall(attributes) if attributes else ():
+    named, seen = False, set()
+    for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), a or b or c
+        if name in seen:
+            continue
+        seen.add(name)
         if name in ("class", "id"):
-            label += "." + value
-            noise = noise or tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value))
+            label += "." + value if name == "class" else ""
+            named = named or tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value))
         elif name == "role":
             noise = noise or value.lower() in NOISE_ROLES
-        elif name == "hidden" or value.lower() == "true":
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             noise = True
-    return Element(parent, tag, noise, label)
+    return Element(parent, tag, noise, named, label)
 
 
 def _inside(e: Element | None, tags: tuple) -> bool:
@@ -84,7 +96,7 @@ def _inside(e: Element | None, tags: tuple) -> bool:
 
 def nodes(page: str) -> Iterator[tuple[Element, int, str]]:
     """Element, number of the block and text of each text node outside of raw elements, in page order."""
-    here = Element(None, "", False, "")
+    here = Element(None, "", False, False, "")
     block, at = 0, 0
     for m in [*_TOKEN.finditer(page), None]:
         if text := page[at : m.start() if m else len(page)]:
@@ -120,26 +132,41 @@ def nodes(page: str) -> Iterator[tuple[Element, int, str]]:
 
 
 def main_text(page: str) -> str:
-    found = [(e, b, entities.unescape(t)) for e, b, t in nodes(page)]
-    kept = [(e, b, t) for e, b, t in found if not e.noise]
-    full = [(e, t.strip()) for e, _, t in kept if t.strip()]
+    found = [(e, b, entities.unescape(t)) for e, b, t in nodes(page) if not e.noise]
+    spared = _wrappers([(e, b, t.strip()) for e, b, t in found if t.strip()])
+    kept = [(e, b, t) for e, b, t in found if not _named(e, spared)]
+    full = [(e, b, t.strip()) for e, b, t in kept if t.strip()]
     if not full:
         return ""
-    articles = [e for e, _ in full if _inside(e, ("article", "main"))]
-    home = _container(full, articles)
+    chosen = _content(full)
     blocks: dict[int, list[str]] = {}
-    for e, b, t in kept:
-        if _under(e, home):
+    for _, b, t in kept:
+        if b in chosen:
             blocks.setdefault(b, []).append(t)
     return "\n".join(x for x in (" ".join("".join(parts).split()) for parts in blocks.values()) if x)
 
 
-def _under(e: Element | None, homes: set[int]) -> bool:
-    while e:
-        if id(e) in homes:
-            return True
-        e = e.parent
-    return False
+def _named(e: Element, spared: set[int]) -> bool:
+    x = e.outer
+    while x and id(x) in spared:
+        x = x.parent.outer
+    return x is not None
+
+
+def _wrappers(full: list[tuple[Element, int, str]]) -> set[int]:
+    """Elements marked by name that hold most of a page's text, in several blocks, and leave no text of articles out."""
+    total = sum(len(t) for *_, t in full)
+    articles = sum(len(t) for e, _, t in full if _inside(e, ("article", "main")))
+    held: dict[int, list] = {}
+    for e, b, t in full:
+        x, inside = e.outer, _inside(e, ("article", "main"))
+        while x:
+            h = held.setdefault(id(x), [0, 0, set()])
+            h[0] += len(t)
+            h[1] += len(t) if inside else 0
+            h[2].add(b)
+            x = x.parent.outer
+    return {x for x, (n, in_articles, blocks) in held.items() if n >= WRAPPER * total and in_articles == articles and len(blocks) > 1}
 
 
 def ratios(full: list[tuple[Element, str]]) -> dict[str, float]:
@@ -151,39 +178,54 @@ def ratios(full: list[tuple[Element, str]]) -> dict[str, float]:
         s[1] += len(_PUNCTUATION.findall(t))
         s[2] += 1
     raw = [(sums[e.path][0] / sums[e.path][2], sums[e.path][1] / sums[e.path][2]) for e, _ in full]
-    smooth = [[sum(w * raw[min(max(i + k - 2, 0), len(raw) - 1)][j] for k, w in enumerate(SMOOTH)) for j in (0, 1)] for i in range(len(raw))]
+    # smoothing lifts short nodes among long ones, but doesn't lower a long one among short ones
+    smooth = [[max(raw[i][j], sum(w * raw[min(max(i + k - 2, 0), len(raw) - 1)][j] for k, w in enumerate(SMOOTH))) for j in (0, 1)] for i in range(len(raw))]
     out: dict[str, list[float]] = {}
     for (e, _), (length, marks) in zip(full, smooth, strict=True):
         out.setdefault(e.path, []).append(length * (marks + 0.1))
     return {p: sum(v) / len(v) for p, v in out.items()}
 
 
-def _container(full: list[tuple[Element, str]], articles: list[Element]) -> set[int]:
-    """The elements whose text is the page's: articles where the page names them, else where most of the content is."""
-    score = ratios([(e, t) for e, t in full if not articles or _inside(e, ("article", "main"))])
-    pool = [(e, t) for e, t in full if e.path in score]
-    mean = sum(score[e.path] * len(t) for e, t in pool) / sum(len(t) for _, t in pool)
-    content = [(e, t) for e, t in pool if score[e.path] >= THRESHOLD * mean]
-    if articles:
-        homes = set()
-        for e, _ in content:
-            x, top = e, None
-            while x:
-                if x.tag in ("article", "main"):
-                    top = top or x
-                x = x.parent
-            if top:
-                homes.add(id(top))
-        return homes
-    weight: dict[int, list] = {}
-    for e, t in content:
-        x = e.block.parent or e.block
+def _content(full: list[tuple[Element, int, str]]) -> set[int]:
+    """The blocks that are text."""
+    headed, full = full, [x for x in full if x[0].block.tag not in HEADINGS]
+    if not full:
+        return {b for _, b, _ in headed}
+    score = ratios([(e, t) for e, _, t in full])
+    for e in {e.path: e for e, *_ in full}.values():
+        if _inside(e, ("article", "main")):
+            score[e.path] *= PRIOR
+    mean = sum(score[e.path] * len(t) for e, _, t in full) / sum(len(t) for *_, t in full)
+    chosen = {b for e, b, _ in full if score[e.path] >= THRESHOLD * mean}
+
+    # lists and the like next to chosen blocks
+    places = {id(x) for e, b, _ in full if b in chosen for x in (e.block, e.block.parent) if x}
+    groups: dict[int, list] = {}
+    for e, b, t in full:
+        x, top = e.block, None
         while x:
-            weight.setdefault(id(x), [0, x])[0] += len(t)
+            top = x if x.tag in BESIDE else top
             x = x.parent
-    total = sum(len(t) for _, t in content)
-    # the deepest element with nine tenths of the content
-    return {id(max((x for w, x in weight.values() if w >= 0.9 * total), key=lambda x: x.depth))}
+        if top:
+            g = groups.setdefault(id(top), [top, 0, 0, []])
+            g[1] += len(t)
+            g[2] += len(t) if _inside(e, ("a",)) else 0
+            g[3].append(b)
+    for top, size, links, blocks in groups.values():
+        if id(top.parent) in places and 2 * links < size:
+            chosen.update(blocks)
+
+    # a heading is text if its section, up to the next of its level or above, has some
+    follows = [False] * len(HEADINGS)
+    for e, b, _ in reversed(headed):
+        if (tag := e.block.tag) in HEADINGS:
+            level = HEADINGS.index(tag)
+            if follows[level]:
+                chosen.add(b)
+            follows[level:] = [False] * (len(HEADINGS) - level)
+        elif b in chosen:
+            follows = [True] * len(HEADINGS)
+    return chosen
 
 
 def extracted(pages: DataFrame, html: str = "html", column: str = "main_text") -> DataFrame:

@@ -27,3 +27,29 @@ def test_spark(spark):
     got = extracted(pages).select("page_id", "main_text").collect()
     assert sorted(x.main_text for x in got) == ["", "", "a b", "a b"]
     assert extracted(pages.limit(0)).count() == 0
+
+
+def test_text_beside_the_body():
+    body = f"<p>{LONG}</p>" * 30
+    page = f"<body><div class=top><h1>Head</h1></div><div class=lead>{LONG}</div><div class=story>{body}</div><div class=last><h2>End</h2><p>{LONG}</p></div><div class=x1>Go</div></body>"
+    assert main_text(page) == "\n".join(["Head", *[LONG] * 31, "End", LONG])
+
+
+def test_story_beside_teasers():
+    teasers = "<article><h3>Teaser</h3><a href=/x>More on it</a></article>" * 4
+    story = f"<p>{LONG} {LONG}</p>" * 5
+    got = main_text(f"<body><div class=story>{story}</div><div>{teasers}</div></body>")
+    assert got.startswith("\n".join([f"{LONG} {LONG}"] * 5))
+
+
+def test_attributes_are_pairs():
+    for a in ('style="overflow:hidden"', 'title="the hidden valley"', "data-role=menu data-id=nav", 'data-x="class=ad"'):
+        assert main_text(f"<div {a}><p>{LONG}</p></div>") == LONG, a
+    for a in ("hidden", "aria-hidden=true", "role='menu'", 'class="ad"', 'id="nav"'):
+        assert main_text(f"<p>{LONG}</p><div {a}><p>{LONG}</p></div>") == LONG, a
+
+
+def test_wrapper_with_a_noisy_name():
+    story = f"<p>{LONG}</p>" * 5
+    page = f"<div class='page with-sidebar'>{story}<div class=sidebar>{LONG}</div></div><div class=foot>x</div>"
+    assert main_text(page) == "\n".join([LONG] * 5)
