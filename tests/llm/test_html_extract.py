@@ -53,3 +53,13 @@ def test_wrapper_with_a_noisy_name():
     story = f"<p>{LONG}</p>" * 5
     page = f"<div class='page with-sidebar'>{story}<div class=sidebar>{LONG}</div></div><div class=foot>x</div>"
     assert main_text(page) == "\n".join([LONG] * 5)
+
+
+def test_paths_choose_in_articles():
+    story = f"<p>{LONG} {LONG} {LONG}</p>" * 8
+    more = "<div class=x7>Read more</div>" * 6
+    points = "<ul><li>one<li>two</ul>"
+    links = "<h3>Also</h3><ul><li><a>Its way</a><li><a>By day</a></ul>"
+    got = main_text(f"<article><h1>Head</h1>{story}{points}{more}{links}</article>")
+    assert got == "\n".join(["Head", *[f"{LONG} {LONG} {LONG}"] * 8, "one", "two"])
+    assert main_text("<article><h1>Head</h1></article>") == "Head"
