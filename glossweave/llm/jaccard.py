@@ -280,9 +280,33 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.table({"u": ids[moved], "v": ids[label[moved]]})
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _link_counts(table: pa.Table) -> pa.Table:
+    """How many documents each set of a shard is linked with: indexed sets with each other, or queries with them and they with queries."""
+    table = table.sort_by([("queries", "ascending"), ("digest", "ascending")])
+    asking, names = table["queries"].to_numpy(zero_copy_only=False), table["digest"].to_pylist()
+    # rows that share an id may bring a set twice
+    once = [i for i, name in enumerate(names) if not i or names[i - 1] != name or asking[i - 1] != asking[i]]
+    table, asking = table.take(once), asking[once]
+    sets = [np.frombuffer(s, tx.U64) for s in table["shingles"].to_pylist()]
+    size = table["size"].to_numpy()
+    held = int((~asking).sum())
+    n = np.zeros(len(sets), np.int64)
+    if held:
+        index = Index(sets[:held])
+        for x in range(held, len(sets)) if held < len(sets) else range(held):
+            found = np.array([y for y in index.search(sets[x], lambda found: np.ones(len(found), bool)) if y != x], np.int64)
+            n[x] += size[found].sum()
+            if held < len(sets):
+                n[found] += size[x]
+    return pa.table({"digest": table["digest"], "n": n})
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
     """(key, n_shingles, component_id) of each document: its set's size and the least id that links lead to, its own included.
 
+    With links there is also n_links, how many other rows each row is linked with; for this every pair of a component is
+    verified, which is left out where the component is known already.
+
     Two documents are linked when their sets of distinct 5-word shingles have 100 * intersection >= 80 * union; a text
     of 1 to 4 words has one shingle, the whole. Null and empty texts and those of white space have an empty set and no links.
     Rows that share an id are one node; a row whose id is null has a null component and no links. Other columns are left
@@ -296,8 +320,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     profile = checkpointed(dealt.groupBy(BLOCK).cogroup(known.groupBy("block")).applyInArrow(_profile(n), "k bigint, n bigint, digest binary, shingles binary"))
     rest = profile.filter("digest IS NOT NULL")
 
-    classes = rest.groupBy("digest").agg(F.min("k").alias("k"), F.max("n").alias("n"))
-    one = checkpointed(rest.select("k", "digest", "shingles").join(classes.select("k", "digest"), ["k", "digest"]).select("k", "shingles"))
+    classes = rest.groupBy("digest").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.count("*").alias("size"))
+    one = checkpointed(rest.select("k", "digest", "shingles").join(classes.select("k", "digest"), ["k", "digest"]).select("k", "shingles", *(["digest"] if links else [])))
     group = components(_candidate_links(one, n))
     dealt_to = classes.join(group.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     weights = dealt_to.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("members")).filter("members > 1")
@@ -309,14 +333,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spread = member.select("k", "root", "parts", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     shard = F.when(F.col("parts") > 1, F.concat_ws("-", "root", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins))))
     placed = spread.select("k", shard.alias("shard"), (F.col("part") > F.col("other")).alias("queries"))
-    links = one.join(placed, "k").groupBy("shard").applyInArrow(_quiet(_links), "u bigint, v bigint")
-    found = components(links)
+    found = components(one.join(placed, "k").groupBy("shard").applyInArrow(_quiet(_links), "u bigint, v bigint"))
 
     label = classes.join(found.withColumnRenamed("node", "k"), "k", "left").select("digest", F.coalesce("root", "k").alias("component_id"))
     alone = profile.filter("digest IS NULL").select("k", "n", F.col("k").alias("component_id"))
-    out = rest.select("k", "n", "digest").join(label, "digest").select("k", "n", "component_id").unionByName(alone)
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    names = ["k", "n", "component_id"]
+    if links:
+        sized = one.join(placed, "k").join(classes.select("digest", "size"), "digest")
+        counted = sized.groupBy("shard").applyInArrow(_quiet(_link_counts), "digest binary, n bigint").groupBy("digest").agg(F.sum("n").alias("others"))
+        counted = classes.select("digest", "size").join(counted, "digest", "left")
+        label = label.join(counted.select("digest", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "digest")
+        alone, names = alone.withColumn("n_links", F.lit(0).cast("long")), [*names, "n_links"]
+    out = rest.select("k", "n", "digest").join(label, "digest").select(*names).unionByName(alone)
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), *names[2:])
 
 
 def op6_divide_skip(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True)

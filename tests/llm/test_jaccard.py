@@ -78,3 +78,21 @@ def test_search():
     for s in sets:
         found = set(index.search(s, lambda f: np.ones(len(f), bool)))
         assert found == {i for i, t in enumerate(sets) if 5 * len(np.intersect1d(s, t)) >= 4 * len(np.union1d(s, t))}
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 400])
+def test_link_counts(spark, shard, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHARD_SHINGLES", shard)
+    monkeypatch.setattr(jaccard, "block_count", lambda *_: 3)
+    rows = corpus(shard + 1)
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(set() if i is None else {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    count = [sum(j != k and bool(a and b) and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets)) for k, a in enumerate(sets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.near_duplicates(docs, links=True).collect()
+    number = lambda i: -1 if i is None else i
+    assert max(count) > 20
+    assert sorted((number(x.doc_id), x.n_shingles, x.n_links) for x in got) == sorted((number(i), 1 if i is None else len(s), n) for (i, _), s, n in zip(rows, sets, count))
+    assert sorted((number(x.doc_id), x.n_shingles, number(x.component_id)) for x in got) == brute(rows)
