@@ -19,8 +19,9 @@ from glossweave.llm.suffix_dedup import cut_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter have no language and go."""
-    return predicted(docs, column="_language").filter(F.col("_language.lang") != UNDETERMINED).select(*docs.columns)
+    """Documents without a letter have no language and go; those with letters stay where no labelled row teaches a language."""
+    determined = F.col("_language.lang") != UNDETERMINED
+    return predicted(docs, column="_language").filter(determined | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

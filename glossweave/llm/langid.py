@@ -19,7 +19,7 @@ FEATURES = 1 << 16
 PENALTY = 12.0
 #: Overlapping n-grams count the same evidence several times.
 TEMPER = 0.4
-#: The model has FEATURES weights a language; of more languages than this, those with most n-grams are learned.
+#: Languages that a task counts at once, and whose emissions are computed at once.
 LANGUAGES = 256
 #: A language is written in the scripts that at least this share of its words begin with.
 SCRIPT_SHARE = 0.02
@@ -83,8 +83,11 @@ class Model:
     def emissions(self, w: Words) -> np.ndarray:
         if not len(w.starts):
             return np.zeros((0, len(self.names)), np.float32)
-        each = self.weights[w.features[:, 0]] + self.weights[w.features[:, 1]]
-        return np.add.reduceat(each, w.begin, axis=0) + self.barred[w.scripts]
+        out = []
+        for k in range(0, len(self.names), LANGUAGES):
+            weights = self.weights[:, k : k + LANGUAGES]
+            out.append(np.add.reduceat(weights[w.features[:, 0]] + weights[w.features[:, 1]], w.begin, axis=0))
+        return np.concatenate(out, 1) + self.barred[w.scripts]
 
     def path(self, emissions: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The best language of each word; all documents advance together."""
@@ -93,8 +96,9 @@ class Model:
         order = np.argsort(-n, kind="stable")
         begin = first[:-1][order]
         active = np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), "left")  # documents with more than t words
-        came = np.zeros((len(emissions), k), np.uint8)
-        own = np.arange(k, dtype=np.uint8)
+        kind = np.uint8 if k <= 256 else np.int32
+        came = np.zeros((len(emissions), k), kind)
+        own = np.arange(k, dtype=kind)
         score = np.zeros((len(order), k), np.float32)
         for t, a in enumerate(active.tolist()):
             s = score[:a]
@@ -121,7 +125,17 @@ def train(docs: DataFrame, text: str, lang: str) -> Model | None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         counts, scripts = np.zeros((0, FEATURES)), np.zeros((0, len(_SCRIPT_NAMES)))
-        for batch in batches:
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for name, k in names.items():
+                for kind, row in ((0, counts[k]), (1, scripts[k])):
+                    at = np.flatnonzero(row)
+                    yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(row[at], pa.float64())], ["name", "kind", "at", "n"])
+
+        for batch in (b.slice(i, LANGUAGES) for b in batches for i in range(0, b.num_rows, LANGUAGES)):
+            if len(names) > LANGUAGES:
+                yield from rows()
+                names, counts, scripts = {}, counts[:0], scripts[:0]
             data, offsets = tx.string_bytes(batch.column(text))
             langs = np.array([names.setdefault(x, len(names)) for x in batch.column(lang).to_pylist()], np.int64)
             grow = len(names) - len(counts)
@@ -133,15 +147,11 @@ def train(docs: DataFrame, text: str, lang: str) -> Model | None:
                 for k in range(2):
                     counts += np.bincount(of_gram * FEATURES + w.features[:, k], minlength=counts.size).reshape(counts.shape)
                 scripts += np.bincount(of_word * scripts.shape[1] + w.scripts, minlength=scripts.size).reshape(scripts.shape)
-        for name, k in names.items():
-            for kind, row in ((0, counts[k]), (1, scripts[k])):
-                at = np.flatnonzero(row)
-                yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(row[at], pa.float64())], ["name", "kind", "at", "n"])
+        yield from rows()
 
     rows = docs.select(F.col(text), F.col(lang)).mapInArrow(count, "name string, kind int, at int, n double").groupBy("name", "kind", "at").agg(F.sum("n").alias("n"))
-    top = rows.groupBy("name").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "name").limit(LANGUAGES)
-    # at most LANGUAGES * (FEATURES + scripts) rows
-    table = rows.join(F.broadcast(top.select("name")), "name").toArrow()
+    # at most FEATURES + scripts rows a language
+    table = rows.toArrow()
     if not table.num_rows:
         return None
     names = sorted(set(table["name"].to_pylist()))
@@ -167,7 +177,7 @@ def languages(docs: DataFrame, model: Model | None, text: str = "text", column:
     """
     base = docs.drop(column)
     schema = plus(base, column, "struct<lang:string,score:double,spans:array<struct<lang:string,start:bigint,stop:bigint>>>")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES * FEATURES floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -78,3 +78,9 @@ def test_toxicity(spark):
     assert toxicity.train(docs, known.limit(0), "doc_id", "text", "toxic") is None
     assert toxicity.toxicity(docs, None).agg(F.max("toxicity")).first()[0] == 0
     assert toxicity.toxicity(docs.limit(0), weights).count() == 0
+
+
+def test_all_languages_are_learned(spoken, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    got = langid.predicted(spoken, column="language").filter("doc_id < 300").select("lang", "language.lang").collect()
+    assert {x[1] for x in got} == set(SYLLABLES) and all(x[0] == x[1] for x in got)

@@ -53,3 +53,8 @@ def test_run(spark, tmp_path):
     got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {i: x.size for i, x in got.items()} == plain(rows, items)
     assert all(0 <= x.taken <= 3 * x.size for x in got.values())
+
+
+def test_no_language_to_learn(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, "слово", None), (4, "— …", None), (5, None, None)], "doc_id long, text string, lang string")
+    assert sorted(x.doc_id for x in corpus_pipeline.language(spark, docs, "").collect()) == [1, 3]
