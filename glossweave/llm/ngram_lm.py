@@ -4,10 +4,14 @@ Smoothed n-grams are arcs between states, which are the contexts; a state withou
 failure arc, which costs the context's backoff weight, to the shorter context, down to the root, which has an arc for every
 word. A text is scored in one traversal from left to right that carries the state and adds the log-probabilities up.
 
-The counts are those of the whole training corpus. Words count with half an occurrence added, the unseen word included.
-Longer n-grams, of all words, are kept from KEPT occurrences on and discounted absolutely:
-P(w | c) = (count(c w) - DISCOUNT) / count(c) for a kept n-gram, plus backoff(c) P(w | shorter c) in any case, where
-backoff(c) is what the discounts leave. So the probabilities of all words add up to 1 in every state.
+The counts are those of the whole training corpus, and every n-gram of it is an arc, also those that occur once:
+P(w) = (count(w) + 0.5) / (N + 0.5 (V + 1)), the unseen word included;
+P(w | c) = (count(c w) + PRIOR P(w | shorter c)) / (count(c) + PRIOR), so the backoff weight of c is PRIOR / (count(c) + PRIOR).
+Every occurrence of a context has a word behind it (the end is a word and no context), so the probabilities of all words add
+up to 1 in every state.
+
+Blocks send each bucket of hashes their distinct n-grams, once, with how often the block's training documents have them; the
+bucket adds these up and answers each block with the sums. Nothing else is shuffled but the texts.
 """
 
 from __future__ import annotations
@@ -19,21 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import text as tx
-from .blocks import BLOCK, BUCKETS, block_count, blocked, checkpointed, slices
+from .blocks import BLOCK, BUCKETS, block_count, blocked, slices
 from .langid import remainder
-from .suffix_dedup import _groups, _quiet, _table
+from .suffix_dedup import _quiet, _table
 
 ORDER = 3
-#: Words with at least this share of all tokens make longer n-grams; 0: all words do, and none are broadcast.
-FREQUENT = 0.0
-KEPT, DISCOUNT = 2, 0.75
+#: Weight of the shorter context, in occurrences.
+PRIOR = 4.0
 END = tx.U64(0x1D8E4E27C47D124F)
-WORD, GRAM, CONTEXT = 1, 2, 3
-#: N-grams that a task counts before it sends them.
-COUNTED = 1 << 21
+#: Words that a task holds before it sends them.
+HELD = 1 << 21
 
-_ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("payload", pa.binary())])
-_ROWS_DDL = "kind int, bucket int, block int, payload binary"
+_ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
+_ROWS_DDL = "kind int, bucket int, block int, n int, payload binary"
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,305 +47,217 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, first + np.arange(len(first))
 
 
-def _pack(keys: np.ndarray, values: np.ndarray, kind: int, n: int, block: int = 0) -> list[tuple]:
-    return [(kind, b, block, keys[i:j].tobytes() + values[i:j].astype(np.float64).tobytes()) for b, i, j in slices(keys, n)]
+def _texts(texts) -> tuple[np.ndarray, np.ndarray]:
+    """tokens() of a whole column."""
+    data, offsets = tx.string_bytes(texts)
+    parts = [tokens(part, offs) for *_, part, offs in tx.chunks(data, offsets)]
+    if not parts:
+        return np.zeros(0, tx.U64), np.zeros(1, np.int64)
+    sizes = np.cumsum([0, *(len(w) for w, _ in parts)])
+    return np.concatenate([w for w, _ in parts]), np.concatenate([[0], *(f[1:] + s for (_, f), s in zip(parts, sizes, strict=False))])
 
 
-def _unpack(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All entries of packed rows, summed by key."""
-    if not payloads:
-        return np.zeros(0, tx.U64), np.zeros(0)
-    keys = np.concatenate([np.frombuffer(p, tx.U64, len(p) // 16) for p in payloads])
-    values = np.concatenate([np.frombuffer(p, np.float64, len(p) // 16, len(p) // 2) for p in payloads])
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(values, first) if len(first) else values
+# In a bucket 40 further bits of the hash tell keys apart: with less than a million of them, as a bucket's share of the
+# blocks is bounded, one in a million meets another.
+def _tails(keys: np.ndarray) -> bytes:
+    tail = tx.mix(keys) >> tx.U64(24)
+    return (tail & tx.U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (tail >> tx.U64(32)).astype(np.uint8).tobytes()
 
 
-def _count_words(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                data, offsets = tx.string_bytes(batch.column("t"))
-                parts = [np.unique(tokens(part, offs)[0], return_counts=True) for *_, part, offs in tx.chunks(data, offsets)]
-                keys, counts = _unpack([k.tobytes() + c.astype(np.float64).tobytes() for k, c in parts])
-                yield from _table(_pack(keys, counts, WORD, n), _ROWS).to_batches()
+def _from_tails(p: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(p, np.uint32, n).astype(np.int64) | np.frombuffer(p, np.uint8, n, 4 * n).astype(np.int64) << 32
 
-    return run
 
+def _numbers(values: np.ndarray) -> bytes:
+    """A byte each; 255 stands for those from 255 on, which follow."""
+    small = np.minimum(values, 255).astype(np.uint8)
+    return small.tobytes() + values[small == 255].astype(np.int64).tobytes()
 
-def _sum_words(table: pa.Table) -> pa.Table:
-    keys, counts = _unpack(table["payload"].to_pylist())
-    row = (WORD, table["bucket"][0].as_py(), float(counts.sum()), len(keys), keys.tobytes() + counts.tobytes())
-    return pa.table({k: [v] for k, v in zip(("kind", "bucket", "n", "v", "payload"), row, strict=True)}).cast(_WORDS)
 
+def _from_numbers(p: bytes, n: int, at: int = 0) -> np.ndarray:
+    out = np.frombuffer(p, np.uint8, n, at).astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    out[large] = np.frombuffer(p, np.int64, len(large), at + n)
+    return out
 
-_WORDS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.float64()), ("v", pa.int64()), ("payload", pa.binary())])
 
-
-class Grams:
-    """The n-grams in a chunk, of frequent words where these are given: for each order, where they end, their keys and their contexts' keys."""
-
-    def __init__(self, words: np.ndarray, first: np.ndarray, frequent: np.ndarray | None):
-        self.often = np.ones(len(words), bool) if frequent is None else np.isin(words, frequent)
-        left = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))  # words before in the document
-        self.orders = []
-        run = self.often
-        for n in range(2, ORDER + 1):
-            run = np.concatenate([np.zeros(1, bool), run[:-1]])[: len(run)] & self.often & (left >= n - 1)
-            at = np.flatnonzero(run)
-            keys = tx.word_grams(words, n)
-            contexts = words if n == 2 else tx.word_grams(words, n - 1)
-            self.orders.append((n, at, keys[at - n + 1], contexts[at - n + 1]))
-
-
-def _summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of (keys, contexts, counts), in order, with their contexts and the sums of their counts."""
-    keys, contexts, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[first], contexts[order[first]], np.add.reduceat(counts[order], first) if len(first) else counts
-
-
-def _count_grams(n: int, frequent):
-    def rows(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, contexts, counts = _summed(parts)
-        yield from _table([(GRAM, b, 0, keys[i:j].tobytes() + contexts[i:j].tobytes() + counts[i:j].tobytes()) for b, i, j in slices(keys, n)], _ROWS).to_batches()
+def _vocabulary(n: int):
+    """A task's distinct words by bucket, and how many words it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        def rows(parts: list[np.ndarray], total: int) -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate(parts))
+            found = [(b, int(total if not k else 0), _tails(keys[i:j])) for k, (b, i, j) in enumerate(slices(keys, n))]
+            yield from _table(found, _VOCABULARY).to_batches()
+
+        parts: list[np.ndarray] = []
+        held, total = 0, 0
         with np.errstate(over="ignore"):
             for batch in batches:
                 data, offsets = tx.string_bytes(batch.column("t"))
                 for *_, part, offs in tx.chunks(data, offsets):
-                    grams = Grams(*tokens(part, offs), frequent.value).orders
-                    parts.append(_summed([(k, c, np.ones(len(k))) for _, _, k, c in grams]))
-                    held += len(parts[-1][0])
-                    if held >= COUNTED:
-                        yield from rows(parts)
-                        parts, held = [], 0
+                    w, _ = tokens(part, offs)
+                    parts.append(np.unique(w))
+                    held, total = held + len(parts[-1]), total + len(w)
+                    if held >= HELD:
+                        parts = [np.unique(np.concatenate(parts))]
+                        held = len(parts[0])
+                        if held >= HELD // 2:
+                            yield from rows(parts, total)
+                            parts, held, total = [], 0, 0
             if parts:
-                yield from rows(parts)
+                yield from rows(parts, total)
 
     return run
 
 
-def _sum_grams(n: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Kept n-grams of a bucket, and what they take of their contexts' mass."""
-        payloads = table["payload"].to_pylist()
-        keys, contexts, counts = (np.concatenate([np.frombuffer(p, t, len(p) // 24, len(p) // 24 * 8 * k) for p in payloads]) for k, t in enumerate((tx.U64, tx.U64, np.float64)))
-        order, new = _groups(keys)
-        first = np.flatnonzero(new)
-        keys, contexts, counts = keys[order][first], contexts[order][first], np.add.reduceat(counts[order], first) if len(first) else counts
-        kept = counts >= KEPT
-        keys, contexts, counts = keys[kept], contexts[kept], counts[kept]
-        rows = _pack(keys, counts, GRAM, n)
-        c, mass = _unpack([contexts.tobytes() + (counts - DISCOUNT).tobytes()])
-        return _table(rows + _pack(c, mass, CONTEXT, n), _ROWS)
+_VOCABULARY = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
 
-    return _quiet(run)
+
+def _distinct(table: pa.Table) -> pa.Table:
+    parts = [_from_tails(p, len(p) // 5) for p in table["payload"].to_pylist()]
+    return pa.table({"n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "v": pa.array([len(np.unique(np.concatenate(parts)))], pa.int64())})
 
 
-def _ask(n: int, frequent):
+class Grams:
+    """The tokens of a block; of each order the distinct n-grams, in order of their hashes, and the number of the one that ends at each place."""
+
+    def __init__(self, texts, learn: np.ndarray):
+        self.tokens, self.first = _texts(texts)
+        n = np.diff(self.first)
+        taught = np.repeat(learn, n)
+        before = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], n)
+        self.keys, self.counts, self.ends, self.number = {}, {}, {}, {}
+        for k in range(1, ORDER + 1):
+            at = np.flatnonzero(before >= k - 1)
+            own = (tx.word_grams(self.tokens, k) if k > 1 else self.tokens)[at - k + 1] if len(at) else np.zeros(0, tx.U64)
+            self.keys[k], which = np.unique(own, return_inverse=True)
+            self.counts[k] = np.bincount(which, weights=taught[at], minlength=len(self.keys[k])).astype(np.int64)
+            self.ends[k] = at
+            self.number[k] = np.full(len(self.tokens), -1, np.int64)
+            self.number[k][at] = which
+
+
+def _ask(n: int):
     def run(table: pa.Table) -> pa.Table:
-        block = table[BLOCK][0].as_py()
-        asked = _asked(table, frequent.value)
-        return _table([(kind, b, block, k[i:j].tobytes()) for kind, k in asked.items() for b, i, j in slices(k, n)], _ROWS)
+        block, g = table[BLOCK][0].as_py(), Grams(table["t"], table["learn"].to_numpy(zero_copy_only=False))
+        return _table([(k, b, block, j - i, _tails(g.keys[k][i:j]) + _numbers(g.counts[k][i:j])) for k in g.keys for b, i, j in slices(g.keys[k], n)], _ROWS)
 
     return _quiet(run)
 
 
-def _asked(table: pa.Table, frequent: np.ndarray | None) -> dict[int, np.ndarray]:
-    """The keys that a block asks about, by kind."""
-    data, offsets = tx.string_bytes(table["t"])
-    words, keys, contexts = [], [], []
-    for *_, part, offs in tx.chunks(data, offsets):
-        w, first = tokens(part, offs)
-        words.append(np.unique(w))
-        for order, _, k, _ in Grams(w, first, frequent).orders:
-            keys.append(np.unique(k))
-            if order < ORDER:
-                contexts.append(keys[-1])
-    join = lambda x: np.unique(np.concatenate(x)) if x else np.zeros(0, tx.U64)
-    every = join(words)
-    return {WORD: every, GRAM: join(keys), CONTEXT: join([*contexts, every if frequent is None else np.intersect1d(every, frequent)])}
-
-
-def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """The value of each key that a bucket is asked about, 0 for those that the model lacks."""
-    keys, values = _unpack(model["payload"].to_pylist())
-    rows = []
-    for kind, bucket, block, p in zip(*(asked[c].to_pylist() for c in _ROWS.names), strict=True):
-        k = np.frombuffer(p, tx.U64)
-        near = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-        v = np.where(keys[near] == k, values[near], 0.0) if len(keys) else np.zeros(len(k))
-        if kind != CONTEXT:  # counts: a byte, and the large ones behind
-            small = np.minimum(v, 255).astype(np.uint8)
-            rows.append((kind, bucket, block, small.tobytes() + v[small == 255].tobytes()))
-        else:
-            rows.append((kind, bucket, block, v.tobytes()))
-    return _table(rows, _ROWS)
+def _add(table: pa.Table) -> pa.Table:
+    """The sums over all blocks, for each block in the order in which it asked."""
+    rows, tails, counts = [], [], []
+    for kind, bucket, block, n, p in zip(*(table[c].to_pylist() for c in ("kind", "bucket", "block", "n", "payload")), strict=True):
+        rows.append((kind, bucket, block, n))
+        tails.append(_from_tails(p, n))
+        counts.append(_from_numbers(p, n, 5 * n))
+    names, which = np.unique(np.concatenate(tails), return_inverse=True)
+    total = np.bincount(which, weights=np.concatenate(counts), minlength=len(names)).astype(np.int64)
+    each = np.split(total[which], np.cumsum([len(t) for t in tails])[:-1])
+    return _table([(*row, _numbers(v)) for row, v in zip(rows, each, strict=True)], _ROWS)
 
 
 class Automaton:
-    """States and arcs of the part of the model that a block's texts can reach."""
-
-    def __init__(self, words: np.ndarray, logs: np.ndarray):
-        self.words, self.root = words, logs  # the root's arcs, by the number of the word
-        self.next_of_word = np.zeros(len(words), np.int64)
-        self.failure, self.cost = [np.zeros(1, np.int64)], [np.zeros(1)]
-        self.states = 1
-        self.arcs = np.zeros(0, np.int64)  # state << 32 | word
+    """States and arcs of the part of the model that a block's texts can reach. State 0 is the root."""
+
+    def __init__(self, root: np.ndarray, next_of_word: np.ndarray):
+        self.root, self.next_of_word = root, next_of_word  # the root's arcs, by the number of the word
+        self.failure, self.cost = np.zeros(1, np.int64), np.zeros(1)
+        self.arcs = np.zeros(0, np.int64)  # state << 32 | word, in order
         self.weight, self.target = np.zeros(0), np.zeros(0, np.int64)
 
     def add_states(self, failure: np.ndarray, cost: np.ndarray) -> np.ndarray:
-        new = np.arange(self.states, self.states + len(failure))
-        self.failure.append(failure)
-        self.cost.append(cost)
-        self.states += len(new)
+        new = np.arange(len(self.failure), len(self.failure) + len(failure))
+        self.failure, self.cost = np.concatenate([self.failure, failure]), np.concatenate([self.cost, cost])
         return new
 
     def add_arcs(self, state: np.ndarray, word: np.ndarray, weight: np.ndarray, target: np.ndarray) -> None:
         arcs = np.concatenate([self.arcs, state << 32 | word])
         order = np.argsort(arcs, kind="stable")
         self.arcs = arcs[order]
-        self.weight = np.concatenate([self.weight, weight])[order]
-        self.target = np.concatenate([self.target, target])[order]
+        self.weight, self.target = np.concatenate([self.weight, weight])[order], np.concatenate([self.target, target])[order]
 
-    def log(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each word in each state, and the state that follows."""
         total, state = np.zeros(len(word)), state.copy()
         follow = np.empty(len(word), np.int64)
-        open_ = np.arange(len(word))
-        while len(open_):
-            s, w = state[open_], word[open_]
+        left = np.arange(len(word))
+        while len(left):
+            s, w = state[left], word[left]
             arc = s << 32 | w
             near = np.minimum(np.searchsorted(self.arcs, arc), max(len(self.arcs) - 1, 0))
-            hit = self.arcs[near] == arc if len(self.arcs) else np.zeros(len(arc), bool)
-            at_root = ~hit & (s == 0)
-            total[open_[hit]] += self.weight[near[hit]]
-            follow[open_[hit]] = self.target[near[hit]]
-            total[open_[at_root]] += self.root[w[at_root]]
-            follow[open_[at_root]] = self.next_of_word[w[at_root]]
-            open_ = open_[~hit & ~at_root]
-            total[open_] += self.costs[state[open_]]
-            state[open_] = self.failures[state[open_]]
+            hit = (self.arcs[near] == arc if len(self.arcs) else np.zeros(len(arc), bool)) & (s > 0)
+            at_root = s == 0
+            total[left[hit]] += self.weight[near[hit]]
+            follow[left[hit]] = self.target[near[hit]]
+            total[left[at_root]] += self.root[w[at_root]]
+            follow[left[at_root]] = self.next_of_word[w[at_root]]
+            left = left[~hit & ~at_root]
+            total[left] += self.cost[state[left]]
+            state[left] = self.failure[state[left]]
         return total, follow
 
-    def scores(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log-probability of each text; all advance together, from left to right."""
-        self.failures, self.costs = np.concatenate(self.failure), np.concatenate(self.cost)
-        n = np.diff(first)
-        order = np.argsort(-n, kind="stable")
-        begin = first[:-1][order]
-        state, total = np.zeros(len(n), np.int64), np.zeros(len(n))
-        for t, a in enumerate(np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), "left").tolist()):
-            log, state[:a] = self.log(state[:a], word[begin[:a] + t])
-            total[:a] += log
-        out = np.empty(len(n))
-        out[order] = total
-        return out
-
-
-def _values(told: pa.Table, kind: int, keys: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(len(keys))
-    answers = {b: p for k, b, p in zip(told["kind"].to_pylist(), told["bucket"].to_pylist(), told["payload"].to_pylist(), strict=True) if k == kind}
-    for b, i, j in slices(keys, n):
-        if kind == CONTEXT:
-            out[i:j] = np.frombuffer(answers[b], np.float64)
-        else:
-            v = np.frombuffer(answers[b], np.uint8, j - i).astype(float)
-            v[v == 255] = np.frombuffer(answers[b][j - i :], np.float64)
-            out[i:j] = v
-    return out
+
+def _logs(g: Grams, counts: dict[int, np.ndarray], total: float, vocabulary: int) -> tuple[Automaton, np.ndarray]:
+    """The automaton of a block, and the state that is reached behind each of its tokens.
+
+    The automaton forgets all but the last ORDER - 1 words, so the state behind a place is the longest known context that ends
+    there, whatever came before. So the steps of the traversal needn't wait for each other.
+    """
+    word = g.number[1]
+    p = {1: (counts[1] + 0.5) / (total + 0.5 * (vocabulary + 1))}
+    root = np.log10(p[1])
+    automaton = Automaton(root, np.zeros(len(root), np.int64))
+    one = {k: np.zeros(len(g.keys[k]), np.int64) for k in g.keys}  # a place where each n-gram ends
+    for k in g.keys:
+        one[k][g.number[k][g.ends[k]]] = g.ends[k]
+    state = {k: np.zeros(len(g.keys[k]), np.int64) for k in g.keys}  # 0: it is no context
+    arcs = []
+    for k in range(1, ORDER + 1):
+        at = one[k]
+        if k > 1:
+            context, shorter = g.number[k - 1][at - 1], p[k - 1][g.number[k - 1][at]]
+            size = counts[k - 1][context]
+            p[k] = (counts[k] + PRIOR * shorter) / (size + PRIOR)
+        if k < ORDER:
+            known = np.flatnonzero((counts[k] > 0) & (g.tokens[at] != END))
+            fall = state[k - 1][g.number[k - 1][at[known]]] if k > 1 else np.zeros(len(known), np.int64)
+            state[k][known] = automaton.add_states(fall, np.log10(PRIOR / (counts[k][known] + PRIOR)))
+            if k == 1:
+                automaton.next_of_word[known] = state[1][known]
+        if k > 1:
+            seen = np.flatnonzero(counts[k] > 0)
+            target = state[k][seen] if k < ORDER else state[k - 1][g.number[k - 1][at[seen]]]
+            arcs.append((state[k - 1][context[seen]], word[at[seen]], np.log10(p[k][seen]), target))
+    automaton.add_arcs(*(np.concatenate(x) for x in zip(*arcs, strict=True)))
+    reached = np.zeros(len(word), np.int64)
+    for k in range(1, ORDER):
+        own = np.where(g.number[k] >= 0, state[k][g.number[k]], 0) if len(state[k]) else reached
+        reached = np.where(own > 0, own, reached)
+    return automaton, reached
 
 
 _SCORED = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(n: int, frequent, total: float, vocabulary: int):
+def _score(n: int, total: float, vocabulary: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        names = [c for c in docs.column_names if c not in (BLOCK, "t")]
         if not docs.num_rows:
-            return pa.table([*(docs[c] for c in names), *(pa.array([], f.type) for f in _SCORED)], names=[*names, *_SCORED.names])
-        asked = _asked(docs, frequent.value)
-        value = {kind: _values(told, kind, keys, n) for kind, keys in asked.items()}
-        words, counts = asked[WORD], value[WORD]
-        p1 = (counts + 0.5) / (total + 0.5 * (vocabulary + 1))
-        automaton = Automaton(words, np.log10(p1))
-        word_of = lambda h: np.searchsorted(words, h)
-
-        data, offsets = tx.string_bytes(docs["t"])
-        parts = [tokens(part, offs) for *_, part, offs in tx.chunks(data, offsets)]
-        contexts = words[counts > 0] if frequent.value is None else np.intersect1d(words, frequent.value)
-        states: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        if len(contexts):
-            mass = value[CONTEXT][np.searchsorted(asked[CONTEXT], contexts)]
-            back = 1 - mass / counts[word_of(contexts)]
-            own = automaton.add_states(np.zeros(len(contexts), np.int64), np.log10(back))
-            automaton.next_of_word[word_of(contexts)] = own
-            states[1] = (contexts, own, back)
-        shorter: tuple | None = None  # keys and probabilities of the kept n-grams one shorter
-        found = {}
-        for k in range(ORDER - 1):
-            keys, context, last, suffix = [], [], [], []
-            for w, first in parts:
-                m, at, key, c = Grams(w, first, frequent.value).orders[k]
-                one = np.unique(key, return_index=True)[1]
-                keys.append(key[one])
-                context.append(c[one])
-                last.append(w[at[one]])
-                suffix.append(tx.word_grams(w, m - 1)[at[one] - m + 2] if m > 2 else w[at[one]])
-            keys, context, last, suffix = (np.concatenate(x) for x in (keys, context, last, suffix))
-            keys, one = np.unique(keys, return_index=True)
-            found[k] = (keys, context[one], last[one], suffix[one], value[GRAM][np.searchsorted(asked[GRAM], keys)])
-        for k in range(ORDER - 1):
-            keys, context, last, suffix, count = found[k]
-            order_ = k + 2
-            if order_ - 1 not in states or not len(states[order_ - 1][0]):
-                break
-            names_, own, back = states[order_ - 1]
-            near = np.minimum(np.searchsorted(names_, context), len(names_) - 1)
-            known = names_[near] == context
-            if order_ == 2:
-                short_p = p1[word_of(last)]
-                size = counts[word_of(context)]
-            else:
-                short_p = shorter[1][np.searchsorted(shorter[0], suffix)]
-                size = found[k - 1][4][np.minimum(np.searchsorted(found[k - 1][0], context), len(found[k - 1][0]) - 1)]
-            kept = known & (count >= KEPT)
-            p = np.where(known, np.where(kept, (count - DISCOUNT) / np.maximum(size, 1), 0) + back[near] * short_p, short_p)
-            shorter = (keys, p)
-            # kept n-grams are contexts of the next order
-            target = automaton.next_of_word[word_of(last)].copy()
-            if order_ < ORDER:
-                grams = keys[kept]
-                mass = value[CONTEXT][np.searchsorted(asked[CONTEXT], grams)]
-                left = 1 - mass / count[kept]
-                new = automaton.add_states(_fallback(automaton, states, suffix[kept], last[kept], word_of, order_), np.log10(left))
-                states[order_] = (grams, new, left)
-                target[kept] = np.where(last[kept] == END, 0, new)
-            elif order_ > 2:
-                names2, own2, _ = states[order_ - 1]
-                n2 = np.minimum(np.searchsorted(names2, suffix), len(names2) - 1) if len(names2) else np.zeros(len(suffix), int)
-                is_state = names2[n2] == suffix if len(names2) else np.zeros(len(suffix), bool)
-                target = np.where(is_state, own2[n2] if len(names2) else 0, target)
-            automaton.add_arcs(own[near[kept]], word_of(last[kept]), np.log10(p[kept]), target[kept])
-        n_tokens, n_known, base, every = [], [], [], []
-        for w, first in parts:
-            at = word_of(w)
-            n_tokens.append(np.diff(first))
-            n_known.append(tx.per_document(counts[at] > 0, first))
-            base.append(np.add.reduceat(automaton.root[at], first[:-1]))
-            every.append(at)
-        # all documents of the block at once: a step costs about as much for a few as for many
-        first = np.concatenate([[0], np.cumsum(np.concatenate(n_tokens))])
-        score = [automaton.scores(np.concatenate(every), first)]
-        cols = [pa.array(np.concatenate(x), f.type) for x, f in zip((n_tokens, n_known, base, score), _SCORED, strict=True)]
-        return pa.table([*(docs[c] for c in names), *cols], names=[*names, *_SCORED.names])
+            return pa.table([docs["_key"], *(pa.array([], f.type) for f in _SCORED)], names=["_key", *_SCORED.names])
+        g = Grams(docs["t"], docs["learn"].to_numpy(zero_copy_only=False))
+        answers = {(k, b): p for k, b, p in zip(*(told[c].to_pylist() for c in ("kind", "bucket", "payload")), strict=True)}
+        counts = {k: np.concatenate([_from_numbers(answers[k, b], j - i) for b, i, j in slices(g.keys[k], n)] or [np.zeros(0, np.int64)]) for k in g.keys}
+        del answers
+        automaton, reached = _logs(g, counts, total, vocabulary)
+        before = np.zeros(len(reached), np.int64)
+        before[1:] = reached[:-1]
+        before[g.first[:-1]] = 0
+        logs, _ = automaton.step(before, g.number[1])
+        sums = lambda x: np.add.reduceat(x, g.first[:-1])
+        values = (np.diff(g.first), sums((counts[1][g.number[1]] > 0).astype(np.int64)), sums(automaton.root[g.number[1]]), sums(logs))
+        return pa.table([docs["_key"], *(pa.array(v, f.type) for v, f in zip(values, _SCORED, strict=True))], names=["_key", *_SCORED.names])
 
     def quiet(docs: pa.Table, told: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
@@ -352,55 +266,26 @@ def _score(n: int, frequent, total: float, vocabulary: int):
     return quiet
 
 
-def _fallback(automaton: Automaton, states: dict, suffix: np.ndarray, last: np.ndarray, word_of, order: int) -> np.ndarray:
-    """The state that each n-gram of an order falls back to: its longest proper suffix that is a state."""
-    if order == 2:
-        return automaton.next_of_word[word_of(last)]
-    names, own, _ = states[order - 1]
-    near = np.minimum(np.searchsorted(names, suffix), len(names) - 1)
-    return np.where(names[near] == suffix, own[near], automaton.next_of_word[word_of(last)])
-
-
-def _quiet_pair(f):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        with np.errstate(over="ignore"):
-            return f(left, right)
-
-    return run
-
-
 def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score of each document; train is a condition on its columns.
 
     Tokens are words, A-Z lower-cased, then one end; a null text is empty and has the end alone. base_score is the sum of
     the words' own log10 probabilities, score that of the model. Documents for which train is null are not learned
-    from. Repeated rows count and are scored each. An empty table gives an empty one; with nothing to learn from, all
-    words are unknown. Other columns are left out.
+    from. Repeated rows count and are scored each, also those that share an id. A very long text is a block of its own. An
+    empty table gives an empty one; with nothing to learn from, all words are unknown. Other columns are left out.
     """
     blocks = block_count(docs, text)
     n = blocks * BUCKETS
-    spark = docs.sparkSession
-    learn = docs.filter(train).select(F.col(text).alias("t"))
-    words = checkpointed(learn.mapInArrow(_count_words(n), _ROWS_DDL).groupBy("bucket").applyInArrow(_quiet(_sum_words), "kind int, bucket int, n double, v bigint, payload binary"))
-    total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k, c = _unpack(batch.column("payload").to_pylist())
-            yield pa.record_batch([pa.array(k[c >= FREQUENT * total].view(np.int64), pa.int64())], ["h"])
-
-    # at most 1 / FREQUENT words
-    common = np.sort(words.select("payload").mapInArrow(often, "h bigint").toArrow()["h"].to_numpy().view(np.uint64)) if FREQUENT else None
-    frequent = spark.sparkContext.broadcast(common)
-    grams = checkpointed(learn.mapInArrow(_count_grams(n, frequent), _ROWS_DDL).groupBy("bucket").applyInArrow(_sum_grams(n), _ROWS_DDL))
-    model = words.select("kind", "bucket", F.lit(0).alias("block"), "payload").union(grams)
-
-    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("t"))
+    learn = F.coalesce(train, F.lit(False))
+    words = docs.filter(learn).select(F.col(text).alias("t")).mapInArrow(_vocabulary(n), "bucket int, n bigint, payload binary")
+    total, vocabulary = words.groupBy("bucket").applyInArrow(_quiet(_distinct), "n bigint, v bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+
+    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("t"), learn.alias("learn"))
     dealt = blocked(base, "_key", "t", blocks)
-    asked = dealt.groupBy(BLOCK).applyInArrow(_ask(n, frequent), _ROWS_DDL)
-    told = asked.groupBy("kind", "bucket").cogroup(model.groupBy("kind", "bucket")).applyInArrow(_quiet_pair(_answer), _ROWS_DDL)
+    asked = dealt.groupBy(BLOCK).applyInArrow(_ask(n), _ROWS_DDL)
+    told = asked.groupBy("kind", "bucket").applyInArrow(_quiet(_add), _ROWS_DDL)
     schema = T.StructType([base.schema["_key"], *T._parse_datatype_string("n_tokens bigint, n_known bigint, base_score double, score double").fields])
-    out = dealt.groupBy(BLOCK).cogroup(told.groupBy("block")).applyInArrow(_score(n, frequent, float(total), int(vocabulary)), schema)
+    out = dealt.groupBy(BLOCK).cogroup(told.groupBy("block")).applyInArrow(_score(n, float(total), int(vocabulary)), schema)
     return out.select(F.col("_key").alias(key), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -4,7 +4,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,29 +21,21 @@ class Plain:
             for n in range(1, lm.ORDER + 1):
                 self.count[n].update(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
         self.total, self.v = sum(self.count[1].values()), len(self.count[1])
-        often = {w for (w,), c in self.count[1].items() if c >= lm.FREQUENT * self.total}
-        self.kept = {g: c for n in range(2, lm.ORDER + 1) for g, c in self.count[n].items() if c >= lm.KEPT and all(w in often for w in g)}
-        self.mass = defaultdict(float)
-        for g, c in self.kept.items():
-            self.mass[g[:-1]] += c - lm.DISCOUNT
 
     def p(self, context, w):
         if not context:
             return (self.count[1][(w,)] + 0.5) / (self.total + 0.5 * (self.v + 1))
         size = self.count[len(context)][context]
-        if not self.mass.get(context):
-            return self.p(context[1:], w)
-        c = self.kept.get((*context, w), 0)
-        return max(c - lm.DISCOUNT, 0) / size + (1 - self.mass[context] / size) * self.p(context[1:], w)
+        return (self.count[len(context) + 1][(*context, w)] + lm.PRIOR * self.p(context[1:], w)) / (size + lm.PRIOR)
 
 
 def toks(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [END]
 
 
-@pytest.mark.parametrize("share", [0.0, 0.02])
-def test_scores(spark, share, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT", share)
+@pytest.mark.parametrize("held", [1 << 21, 10])
+def test_scores(spark, held, monkeypatch):
+    monkeypatch.setattr(lm, "HELD", held)
     monkeypatch.setattr(lm, "block_count", lambda *_: 3)
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(["The", "cat", "sat", "on", "é", "mat.", "w%d" % r.randint(0, 40)]) for _ in range(r.randint(0, 60))), "x") for i in range(120)]
@@ -70,16 +62,40 @@ def test_nothing_to_learn(spark):
 
 
 def test_rare_words_have_ngrams(spark):
-    texts = [" ".join(["the"] * 4999)] * 12 + ["rare pair"] * 2  # two in 60,006 tokens
+    texts = [" ".join(["the"] * 4999)] * 12 + ["rare pair"]  # one in 60,003 tokens
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, "rare pair")], "doc_id long, text string")
     x = lm.scored(docs, F.col("doc_id") < 99).filter("doc_id = 99").first()
-    root = lambda n: (n + 0.5) / (60006 + 0.5 * 5)
-    held = lambda shorter: 1.25 / 2 + 0.75 / 2 * shorter
-    assert x.train_tokens == 60006
-    assert abs(x.score - math.log10(root(2) * held(root(2)) * held(held(root(14))))) < 1e-9
-
-
-def test_no_repeated_ngram(spark):
-    docs = spark.createDataFrame([(1, "a b c"), (2, "b a c")], "doc_id long, text string")
-    for x in lm.scored(docs, F.col("doc_id") == 1).collect():
-        assert abs(x.score - x.base_score) < 1e-9
+    root = lambda n: (n + 0.5) / (60003 + 0.5 * 5)
+    seen = lambda shorter: (1 + lm.PRIOR * shorter) / (1 + lm.PRIOR)
+    assert x.train_tokens == 60003
+    assert abs(x.score - math.log10(root(1) * seen(root(1)) * seen(seen(root(13))))) < 1e-9
+
+
+def test_long_text(spark):
+    """A text of several chunks, beside short ones, scores as by itself in pieces of the same tokens."""
+    r = random.Random(5)
+    text = " ".join("w%d" % r.randint(0, 300) for _ in range(400_000))
+    docs = spark.createDataFrame([(1, text), (2, "w1 w2")], "doc_id long, text string")
+    got = {x.doc_id: x for x in lm.scored(docs, F.lit(True)).collect()}
+    model = Plain([toks(text), toks("w1 w2")])
+    w = toks(text)
+    assert len(text) > 1 << 20 and got[1].n_tokens == len(w)
+    assert abs(got[1].score - sum(math.log10(model.p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(len(w)))) < 1e-4
+    assert abs(got[2].score - sum(math.log10(model.p(c, x)) for c, x in (((), "w1"), (("w1",), "w2"), (("w1", "w2"), END)))) < 1e-9
+
+
+def test_traversal():
+    """The states behind all places are those that single steps reach."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(4)
+    with np.errstate(over="ignore"):
+        texts = [" ".join(r.choice("abcd") for _ in range(r.randint(0, 30))) for _ in range(20)]
+        g = lm.Grams(pa.array(texts), np.arange(20) < 12)
+        automaton, reached = lm._logs(g, g.counts, float(g.counts[1].sum()), int((g.counts[1] > 0).sum()))
+        for a, b in zip(g.first[:-1], g.first[1:]):
+            state = np.zeros(1, np.int64)
+            for i in range(a, b):
+                _, state = automaton.step(state, g.number[1][i : i + 1])
+                assert state[0] == reached[i] or i == b - 1
