@@ -6,7 +6,7 @@
 2. Equal sets become one. The others are dealt to groups so that any two sets that could be linked, by the number of leading
    shingles that they share, are of one group; groups share shards.
 3. Each shard builds an inverted index and searches it with each set: short lists are merged, counts reach T - L or the set
-   is no candidate, the L long lists are probed by binary search, and sets that reach the overlap are linked. A group
+   is no candidate, the L long lists are probed, and all sets that reach the overlap are linked and counted. A group
    above SHARD_SHINGLES is split in parts, each part is searched in each.
 """
 
@@ -26,11 +26,12 @@ from .suffix_dedup import _groups, _quiet, _table
 
 SHINGLE = 5
 SHARD_SHINGLES = 1 << 20
+#: Small groups share shards of about so many.
+BIN_SHINGLES = 1 << 18
 #: Similarity, as a fraction: SIMILAR / WHOLE.
 SIMILAR, WHOLE = 4, 5
-#: What a step of the merge costs against a step of a binary probe, DivideSkip's one constant; merges are vectorised, probes go
-#: set by set, so about half of the overlap is left to the merge, which few sets reach that aren't linked.
-PROBE = 0.1
+#: Lists of more sets are probed, not merged.
+PROBED = 64
 #: Lists of more sets than this are long; pairs of a long list are not counted.
 LONG = 16
 
@@ -219,93 +220,103 @@ def _candidate_links(sets: DataFrame, n: int) -> DataFrame:
 
 
 class Index:
-    """An inverted index over sets, searched for those that share at least 4/5 of all with a query."""
+    """An inverted index over sets, searched for those that share at least 4/5 of all with a query.
+
+    Lists of more than PROBED sets are long: they are also kept as bits, a row for each set, so that a probe of a set in all
+    of a query's long lists is one AND of two rows.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets])
-        token = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        self.tokens, which = np.unique(token, return_inverse=True)
-        self.entries = np.sort(which.astype(np.int64) << 32 | owner)  # all lists, one after the other
-        self.first = np.searchsorted(self.entries, np.arange(len(self.tokens) + 1) << 32)
-
-    def search(self, s: np.ndarray, wanted) -> list[int]:
-        """Sets y with 100 |s & y| >= 80 |s | y|, of those candidates for which wanted(candidates) is true."""
+        self.by_size = np.argsort(self.sizes, kind="stable")
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        self.tokens, which, n = np.unique(token, return_inverse=True, return_counts=True)
+        order = np.argsort(which, kind="stable")
+        self.members = owner[order]  # all lists, one after the other
+        self.first = np.concatenate([[0], np.cumsum(n)])
+        self.bit = np.where(n > PROBED, np.cumsum(n > PROBED) - 1, -1)
+        self.width = int((n > PROBED).sum()) // 64 + 1
+        bits = np.zeros((len(sets), self.width * 8), np.uint8)
+        at = self.bit[which]
+        probed = at >= 0
+        np.bitwise_or.at(bits, (owner[probed], at[probed] >> 3), np.left_shift(1, at[probed] & 7).astype(np.uint8))
+        self.rows = bits.view(tx.U64)
+
+    def search(self, s: np.ndarray) -> np.ndarray:
+        """Sets y with 100 |s & y| >= 80 |s | y|."""
         at = np.searchsorted(self.tokens, s)
         at = at[(at < len(self.tokens)) & (self.tokens[np.minimum(at, len(self.tokens) - 1)] == s)]
         need = least_overlap(len(s))
         if len(at) < need:
-            return []
-        length = self.first[at + 1] - self.first[at]
-        at = at[np.argsort(length, kind="stable")]
-        longest = int(length.max())
-        n_long = min(need - 1, int(need / (PROBE * np.log2(longest + 1) + 1)))
-        short, long_ = at[: len(at) - n_long], at[len(at) - n_long :]
+            return np.zeros(0, np.int64)
+        long_, short = self.bit[at], at[self.bit[at] < 0]
+        long_ = long_[long_ >= 0]
+        # the short lists, merged: sets that occur T - L times or more are candidates
         n = self.first[short + 1] - self.first[short]
-        merged = self.entries[np.repeat(self.first[short + 1] - np.cumsum(n), n) + np.arange(n.sum())] & 0xFFFFFFFF
-        counts = np.bincount(merged, minlength=len(self.sizes))
-        found = np.flatnonzero(counts >= max(need - n_long, 1))
+        merged = self.members[np.repeat(self.first[short + 1] - np.cumsum(n), n) + np.arange(n.sum())]
+        found, counts = np.unique(merged, return_counts=True)
+        if need > len(long_):
+            enough = counts >= need - len(long_)
+            found, counts = found[enough], counts[enough]
+        else:  # long lists alone may hold the overlap
+            sizes = self.sizes[self.by_size]
+            every = np.sort(self.by_size[np.searchsorted(sizes, need) : np.searchsorted(sizes, len(s) * WHOLE // SIMILAR, "right")])
+            every_counts = np.zeros(len(self.sizes), np.int64)
+            every_counts[found] = counts
+            found, counts = every, every_counts[every]
         b = self.sizes[found]
-        found = found[(b >= need) & (least_overlap(b) <= len(s))]
-        count = counts[found]
-        pick = wanted(found)
-        found, count = found[pick], count[pick]
-        out = []
-        for y, c in zip(found.tolist(), count.tolist(), strict=True):
-            if len(long_):
-                probe = long_ << 32 | y
-                spot = np.searchsorted(self.entries, probe)
-                c += int((self.entries[np.minimum(spot, len(self.entries) - 1)] == probe).sum())
-            if WHOLE * c >= SIMILAR * (len(s) + int(self.sizes[y]) - c):
-                out.append(y)
-        return out
-
-
-def _links(table: pa.Table) -> pa.Table:
-    """A forest of the links that a shard finds: of its indexed sets with each other, or of its queries with them."""
-    table = table.sort_by([("queries", "ascending"), ("k", "ascending")])
-    ids = table["k"].to_numpy()
-    sets = [np.frombuffer(s, tx.U64) for s in table["shingles"].to_pylist()]
-    asking = table["queries"].to_numpy(zero_copy_only=False)
-    held = int((~asking).sum())
-    label = np.arange(len(sets))  # the least set that links lead to so far
-    if held:
-        index = Index(sets[:held])
-        for x in range(held, len(sets)) if held < len(sets) else range(held):
-            for y in index.search(sets[x], lambda found, x=x: label[found] != label[x]):
-                low, high = sorted((label[x], label[y]))
-                if low != high:
-                    label[label == high] = low
-    moved = label != np.arange(len(sets))
-    return pa.table({"u": ids[moved], "v": ids[label[moved]]})
-
-
-def _link_counts(table: pa.Table) -> pa.Table:
-    """How many documents each set of a shard is linked with: indexed sets with each other, or queries with them and they with queries."""
-    table = table.sort_by([("queries", "ascending"), ("digest", "ascending")])
+        fits = (b >= need) & (least_overlap(b) <= len(s))
+        found, counts, b = found[fits], counts[fits], b[fits]
+        if len(long_) and len(found):
+            row = np.zeros(self.width * 8, np.uint8)
+            np.bitwise_or.at(row, long_ >> 3, np.left_shift(1, long_ & 7).astype(np.uint8))
+            row = row.view(tx.U64)
+            used = np.flatnonzero(row)
+            counts = counts + np.bitwise_count(self.rows[found][:, used] & row[used]).sum(1, dtype=np.int64)
+        return found[WHOLE * counts >= SIMILAR * (len(s) + b - counts)]
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """What a shard finds, its indexed sets with each other or its queries with them: a forest of the links, and how many documents each set is linked with."""
+    table = table.sort_by([("queries", "ascending"), ("digest", "ascending"), ("k", "ascending")])
     asking, names = table["queries"].to_numpy(zero_copy_only=False), table["digest"].to_pylist()
     # rows that share an id may bring a set twice
     once = [i for i, name in enumerate(names) if not i or names[i - 1] != name or asking[i - 1] != asking[i]]
     table, asking = table.take(once), asking[once]
+    ids, size = table["k"].to_numpy(), table["size"].to_numpy()
     sets = [np.frombuffer(s, tx.U64) for s in table["shingles"].to_pylist()]
-    size = table["size"].to_numpy()
     held = int((~asking).sum())
-    n = np.zeros(len(sets), np.int64)
+    n, up = np.zeros(len(sets), np.int64), np.arange(len(sets))
     if held:
         index = Index(sets[:held])
         for x in range(held, len(sets)) if held < len(sets) else range(held):
-            found = np.array([y for y in index.search(sets[x], lambda found: np.ones(len(found), bool)) if y != x], np.int64)
+            found = index.search(sets[x])
+            found = found[found != x]
+            if not len(found):
+                continue
             n[x] += size[found].sum()
             if held < len(sets):
                 n[found] += size[x]
-    return pa.table({"digest": table["digest"], "n": n})
+            # disjoint sets: all that are linked move under one root, paths shorten on the way
+            both = np.append(found, x)
+            roots = up[both]
+            while (up[roots] != roots).any():
+                roots = up[roots]
+            up[both] = up[roots] = roots.min()
+    while (up[up] != up).any():
+        up = up[up]
+    moved = up != np.arange(len(sets))
+    rows = [("u", ids[moved]), ("v", ids[up[moved]])]
+    links = pa.table({**{c: pa.array(v, pa.int64()) for c, v in rows}, "digest": pa.nulls(int(moved.sum()), pa.binary()), "n": pa.nulls(int(moved.sum()), pa.int64())})
+    linked = np.flatnonzero(n)
+    counts = pa.table({"u": pa.nulls(len(linked), pa.int64()), "v": pa.nulls(len(linked), pa.int64()), "digest": table["digest"].take(linked).cast(pa.binary()), "n": pa.array(n[linked], pa.int64())})
+    return pa.concat_tables([links, counts])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
     """(key, n_shingles, component_id) of each document: its set's size and the least id that links lead to, its own included.
 
-    With links there is also n_links, how many other rows each row is linked with; for this every pair of a component is
-    verified, which is left out where the component is known already.
+    With links there is also n_links, how many other rows each row is linked with.
 
     Two documents are linked when their sets of distinct 5-word shingles have 100 * intersection >= 80 * union; a text
     of 1 to 4 words has one shingle, the whole. Null and empty texts and those of white space have an empty set and no links.
@@ -321,28 +332,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     rest = profile.filter("digest IS NOT NULL")
 
     classes = rest.groupBy("digest").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.count("*").alias("size"))
-    one = checkpointed(rest.select("k", "digest", "shingles").join(classes.select("k", "digest"), ["k", "digest"]).select("k", "shingles", *(["digest"] if links else [])))
+    one = checkpointed(rest.select("k", "digest", "shingles").join(classes.select("k", "digest"), ["k", "digest"]))
     group = components(_candidate_links(one, n))
     dealt_to = classes.join(group.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     weights = dealt_to.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("members")).filter("members > 1")
-    total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    bins = max(1, -(-int(total) // SHARD_SHINGLES))
+    small = F.when(F.col("weight") <= SHARD_SHINGLES, F.col("weight"))
+    bins = max(1, -(-int(weights.agg(F.coalesce(F.sum(small), F.lit(0))).first()[0]) // BIN_SHINGLES))
     parts = F.ceil(F.col("weight") / F.lit(SHARD_SHINGLES)).cast("int")
     member = dealt_to.join(weights.select("root", parts.alias("parts")), "root").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("k"), "parts").cast("int")).otherwise(0))
     # one row for each pair of parts that a set's part is in
-    spread = member.select("k", "root", "parts", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    spread = member.select("k", "digest", "size", "root", "parts", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     shard = F.when(F.col("parts") > 1, F.concat_ws("-", "root", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins))))
-    placed = spread.select("k", shard.alias("shard"), (F.col("part") > F.col("other")).alias("queries"))
-    found = components(one.join(placed, "k").groupBy("shard").applyInArrow(_quiet(_links), "u bigint, v bigint"))
+    placed = spread.select("k", "digest", "size", shard.alias("shard"), (F.col("part") > F.col("other")).alias("queries"))
+    joined = checkpointed(one.join(placed, ["k", "digest"]).groupBy("shard").applyInArrow(_quiet(_joined), "u bigint, v bigint, digest binary, n bigint"))
+    found = components(joined.filter("u IS NOT NULL").select("u", "v"))
 
-    label = classes.join(found.withColumnRenamed("node", "k"), "k", "left").select("digest", F.coalesce("root", "k").alias("component_id"))
+    label = classes.join(found.withColumnRenamed("node", "k"), "k", "left").select("digest", "size", F.coalesce("root", "k").alias("component_id"))
     alone = profile.filter("digest IS NULL").select("k", "n", F.col("k").alias("component_id"))
     names = ["k", "n", "component_id"]
     if links:
-        sized = one.join(placed, "k").join(classes.select("digest", "size"), "digest")
-        counted = sized.groupBy("shard").applyInArrow(_quiet(_link_counts), "digest binary, n bigint").groupBy("digest").agg(F.sum("n").alias("others"))
-        counted = classes.select("digest", "size").join(counted, "digest", "left")
-        label = label.join(counted.select("digest", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "digest")
+        others = joined.filter("digest IS NOT NULL").groupBy("digest").agg(F.sum("n").alias("others"))
+        label = label.join(others, "digest", "left").withColumn("n_links", F.col("size") - 1 + F.coalesce("others", F.lit(0)))
         alone, names = alone.withColumn("n_links", F.lit(0).cast("long")), [*names, "n_links"]
     out = rest.select("k", "n", "digest").join(label, "digest").select(*names).unionByName(alone)
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), *names[2:])

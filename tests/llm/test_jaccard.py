@@ -71,12 +71,14 @@ def test_empty(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_search():
+@pytest.mark.parametrize("probed", [1, 64, 10**6])
+def test_search(probed, monkeypatch):
+    monkeypatch.setattr(jaccard, "PROBED", probed)
     r = np.random.default_rng(3)
     sets = [np.unique(r.choice(60, r.integers(1, 50)).astype(np.uint64)) for _ in range(300)]
     index = jaccard.Index(sets)
-    for s in sets:
-        found = set(index.search(s, lambda f: np.ones(len(f), bool)))
+    for s in [*sets, np.arange(0, 90, 2, dtype=np.uint64)]:
+        found = set(index.search(s).tolist())
         assert found == {i for i, t in enumerate(sets) if 5 * len(np.intersect1d(s, t)) >= 4 * len(np.union1d(s, t))}
 
 
