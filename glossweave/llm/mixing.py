@@ -21,6 +21,7 @@ WEIGHTS, CAP = (1, 2, 3), 3
 BLOCK_TOKENS = 64
 #: Documents in a shard, about.
 SHARD_DOCUMENTS = 500
+FEW_SOURCES = 1 << 16
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, cap: float = CAP) -> np.ndarray:
@@ -141,6 +142,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     totals = sized.groupBy("_k").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = totals.groupBy(F.lit(1).alias("all")).applyInArrow(_plan(weights, cap), "_k string, source_size bigint, target double, quota bigint, shards int")
     draw = F.xxhash64(F.lit(seed), "doc_id", "size")
+    # a row for each source: broadcast where that is few, so that the documents stay where they are
+    plan = checkpointed(plan)
+    plan = F.broadcast(plan) if plan.count() <= FEW_SOURCES else plan
     dealt = sized.join(plan, "_k").withColumn("draw", draw).withColumn("shard", F.pmod(F.xxhash64("draw"), "shards").cast("int"))
     quotas = dealt.groupBy("_k", "quota", "shard").agg(F.sum("size").alias("tokens")).groupBy("_k").applyInArrow(_deal, "_k string, shard int, blocks bigint")
     rows = dealt.select("_k", "shard", "draw", "doc_id", "source", "size", "source_size", "target")
