@@ -18,32 +18,46 @@ from glossweave.llm.mixing import mix
 from glossweave.llm.suffix_dedup import cut_repeats
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter have no language and go; those with letters stay where no labelled row teaches a language."""
-    determined = F.col("_language.lang") != UNDETERMINED
-    return predicted(docs, column="_language").filter(determined | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    found = _free(docs, "_language")
+    return predicted(docs, column=found).filter((F.col(found)["lang"] != UNDETERMINED) | F.col("text").rlike(r"\p{L}")).select(*_columns(docs))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays. Rows that share an id are one document."""
     gone = near_duplicates(docs).filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur twice or more are cut out of the texts; characters that a cut divides go whole."""
-    cut = cut_repeats(docs, column="_cut")
-    kept = F.col("_cut.kept").cast("string")
+    column = _free(docs, "_cut")
+    cut = cut_repeats(docs, column=column)
+    kept = F.col(column)["kept"].cast("string")
     whole = F.when(F.is_valid_utf8(kept), kept).otherwise(F.regexp_replace(F.make_valid_utf8(kept), "�", ""))
     rows = cut.withColumn("text", whole).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*_columns(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which windows of benchmark items cover a twentieth of the words or more go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = F.col("_contamination")
-    return contamination(docs, benchmark, column="_contamination").filter(~is_contaminated(hit["n_words"], hit["n_hit"])).select(*docs.columns)
+    column = _free(docs, "_contamination")
+    hit = F.col(column)
+    return contamination(docs, benchmark, column=column).filter(~is_contaminated(hit["n_words"], hit["n_hit"])).select(*_columns(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
+    """The stages applied to documents, each written to the shared folder and read again; only the last one's input stays there."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # what this stage has read
+            files.delete(path(before), True)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
