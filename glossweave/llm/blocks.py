@@ -51,8 +51,12 @@ def slices(hashes: np.ndarray, n: int) -> list[tuple[int, int, int]]:
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder of the session, or, where none is set (as in tests), a fixed one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The shared folder of the session. Where none is set, local sessions (as in tests) have one of their own; a cluster must name one."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

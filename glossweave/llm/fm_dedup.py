@@ -4,8 +4,9 @@ Windows are dealt to shards by their anchor, the least hash of the 3-word grams
 that share an anchor form a *fragment*. Shards first see fragments' hashes with the least document that has them; a
 fragment whose anchor has no other surroundings anywhere is settled by that. The words of the rest go to their shard,
 which builds one FM-index over them: the Burrows-Wheeler transform in a wavelet matrix of packed bits. Documents' fragments
-are then streamed through it by backward search; each position with a match of 13 words or more reports its interval
-of suffixes, whose least document decides. An anchor with more than HOT different fragments is split: its windows are
+are then streamed through it: backward search from each position gives its matching statistics, the length of the
+longest match that ends there, up to the threshold of 13 words; each position that reaches it reports its interval of
+suffixes, whose least document decides. An anchor with more than HOT different fragments is split: its windows are
 dealt by the hash of their 13 words.
 """
 
@@ -81,12 +82,19 @@ class FMIndex:
         shift = self.first[symbol] - self.base[symbol]
         return self._descend(symbol, low) + shift, self._descend(symbol, high) + shift
 
-    def search(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of suffixes that match length symbols of the text from each start on; empty where none does."""
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.suffixes))
-        for j in reversed(range(length)):
-            low, high = self.extend(text[starts + j], low, high)
-        return low, high
+    def matching(self, text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a text that is in the index itself: for each end, how many symbols up to it occur in another
+        place too, depth at most, and the interval of suffixes that begin with them."""
+        length = np.zeros(len(ends), np.int64)
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.suffixes))
+        left = np.arange(len(ends))
+        for j in range(depth):
+            a, b = self.extend(text[ends[left] - j], low[left], high[left])
+            again = b - a > 1
+            left = left[again]
+            low[left], high[left] = a[again], b[again]
+            length[left] += 1
+        return length, low, high
 
 
 class LeastOf:
@@ -279,9 +287,13 @@ def _search(table: pa.Table) -> pa.Table:
     m = meta[one, 0]
     at = np.repeat(begin, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
     found = np.empty(len(at), np.int64)
+    own = np.repeat(least, m)
     for i in range(0, len(at), SEARCHED_AT_ONCE):
-        low, high = index.search(text, at[i : i + SEARCHED_AT_ONCE], WINDOW)
-        found[i : i + SEARCHED_AT_ONCE] = smallest.of(low, high)
+        part = slice(i, i + SEARCHED_AT_ONCE)
+        length, low, high = index.matching(text, at[part] + (WINDOW - 1), WINDOW)
+        whole = length == WINDOW
+        found[part] = own[part]
+        found[part][whole] = smallest.of(low[whole], high[whole])
     each = np.split(found, np.cumsum(m)[:-1])
     values, k = [], 0
     for c in counts:

@@ -47,14 +47,15 @@ def corpus(seed):
 def test_index():
     r = np.random.default_rng(0)
     for n in (3, 50, 400):
-        text = np.append(r.integers(0, 5, n), 0)
+        text = np.append(r.integers(1, 5, n), 0)
         index = fm.FMIndex(text, 5, 8)
-        for _ in range(60):
-            pattern = r.integers(1, 5, r.integers(1, 9))
-            low, high = index.search(np.append(pattern, 0), np.zeros(1, int), len(pattern))
-            found = sorted(index.suffixes[low[0] : high[0]].tolist())
-            padded = np.concatenate([text, np.zeros(9, int)])
-            assert found == [i for i in range(n) if (padded[i : i + len(pattern)] == pattern).all()]
+        depth = min(8, n)
+        ends = np.arange(depth - 1, n)
+        length, low, high = index.matching(text, ends, depth)
+        for e, m, i, j in zip(ends.tolist(), length.tolist(), low.tolist(), high.tolist()):
+            places = lambda size, e=e: [k for k in range(n - size + 1) if (text[k : k + size] == text[e - size + 1 : e + 1]).all()]
+            assert m == max((size for size in range(1, depth + 1) if len(places(size)) > 1), default=0)
+            assert not m or sorted(index.suffixes[i:j].tolist()) == places(m)
 
 
 @pytest.mark.parametrize("hot", [4096, 1])

@@ -47,7 +47,8 @@ def test_run(spark, tmp_path):
         parts = [prose(r.randint(5, 60)), r.choice([*passages, "", ""]), r.choice([*items, "", "", ""]), prose(10)]
         rows.append((i, " ".join(parts), r.choice(["en", None]), r.choice(["a", "b", None])))
     rows += [(60, rows[20][1], "en", "a"), (61, rows[21][1] + " end", "fr", "b")]
-    docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, _language string, _cut int, `_contamination` string"
+    docs = spark.createDataFrame([(*x, len(x[1] or ""), "own", x[0], "own") for x in rows], ddl)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
@@ -58,3 +59,24 @@ def test_run(spark, tmp_path):
 def test_no_language_to_learn(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, "слово", None), (4, "— …", None), (5, None, None)], "doc_id long, text string, lang string")
     assert sorted(x.doc_id for x in corpus_pipeline.language(spark, docs, "").collect()) == [1, 3]
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns that are named like those of the operators keep their values."""
+    spark.createDataFrame([(1, "tiny item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, _language string, _cut int, _contamination string"
+    docs = spark.createDataFrame([(1, "some words of a text", "en", "a", 20, "own", 5, "mine")], ddl)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.collect() == [(1, "some words of a text", "en", "a", 20, "own", 5, "mine")]
+
+
+def test_one_source_and_empty(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, f"word{i} " * (i + 1), "en", None if i < 57 else "z", 0) for i in range(60)]
+    spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.source for x in got} == {None, "z"} and all(0 <= x.taken <= 3 * x.size for x in got)
+    spark.createDataFrame([], ddl).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
