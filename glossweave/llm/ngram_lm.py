@@ -16,6 +16,7 @@ bucket adds these up and answers each block with the sums. Nothing else is shuff
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import text as tx
-from .blocks import BLOCK, BUCKETS, block_count, blocked, slices
+from .blocks import BLOCK, block_count, blocked, edges, slices
 from .langid import remainder
 from .suffix_dedup import _quiet, _table
 
 ORDER = 3
 #: Weight of the shorter context, in occurrences.
-PRIOR = 4.0
+PRIOR = 64.0
 END = tx.U64(0x1D8E4E27C47D124F)
 #: Words that a task holds before it sends them.
 HELD = 1 << 21
+#: Steps that are taken at once.
+STEPS = 1 << 18
 
 _ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
 _ROWS_DDL = "kind int, bucket int, block int, n int, payload binary"
@@ -57,37 +60,68 @@ def _texts(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([w for w, _ in parts]), np.concatenate([[0], *(f[1:] + s for (_, f), s in zip(parts, sizes, strict=False))])
 
 
-# In a bucket 40 further bits of the hash tell keys apart: with less than a million of them, as a bucket's share of the
-# blocks is bounded, one in a million meets another.
-def _tails(keys: np.ndarray) -> bytes:
-    tail = tx.mix(keys) >> tx.U64(24)
-    return (tail & tx.U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (tail >> tx.U64(32)).astype(np.uint8).tobytes()
+#: So many bits of a hash tell the keys of a bucket apart: of less than a million, as a bucket's share of the blocks is bounded, one in a million meets another.
+TAIL = 40
 
 
-def _from_tails(p: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(p, np.uint32, n).astype(np.int64) | np.frombuffer(p, np.uint8, n, 4 * n).astype(np.int64) << 32
+def _tails(keys: np.ndarray, bucket: int, n: int) -> bytes:
+    """Sorted keys of a bucket: their low bits by bit, and their high ones as a row of bits, a 1 for each key and a 0 for each step."""
+    tail = (keys - edges_of(n)[bucket]) >> np.uint64(max(0, 65 - int(n).bit_length() - TAIL))
+    width = TAIL + 1 - len(keys).bit_length()
+    high = (tail >> np.uint64(width)).astype(np.int64)
+    unary = np.zeros(len(keys) + (2 << (TAIL - width)), np.uint8)
+    unary[high + np.arange(len(keys))] = 1
+    low = np.empty((len(keys), width), np.uint8)
+    for k in range(width):
+        low[:, k] = tail >> np.uint64(k) & np.uint64(1)
+    return np.packbits(unary).tobytes() + np.packbits(low).tobytes()
+
+
+def _from_tails(p: bytes, n: int) -> tuple[np.ndarray, int]:
+    """The keys of a row of n, and how many bytes they take."""
+    width = TAIL + 1 - int(n).bit_length()
+    steps = -(-(n + (2 << (TAIL - width))) // 8)
+    size = -(-n * width // 8)
+    unary = np.flatnonzero(np.unpackbits(np.frombuffer(p, np.uint8, steps)))
+    bits = np.unpackbits(np.frombuffer(p, np.uint8, size, steps), count=n * width).reshape(n, width)
+    padded = np.zeros((n, 64), np.uint8)
+    padded[:, :width] = bits
+    low = np.packbits(padded, axis=1, bitorder="little").view(np.int64).ravel()
+    return (unary - np.arange(n)) << width | low, steps + size
 
 
 def _numbers(values: np.ndarray) -> bytes:
-    """A byte each; 255 stands for those from 255 on, which follow."""
-    small = np.minimum(values, 255).astype(np.uint8)
-    return small.tobytes() + values[small == 255].astype(np.int64).tobytes()
+    """Two bits each; 3 stands for those from 3 on, which follow in a byte, and for 255 on behind these."""
+    few = np.minimum(values, 3).astype(np.uint8)
+    more = values[few == 3] - 3
+    byte = np.minimum(more, 255).astype(np.uint8)
+    return np.packbits(np.stack([few >> 1, few & 1], 1)).tobytes() + byte.tobytes() + more[byte == 255].astype(np.int64).tobytes()
 
 
 def _from_numbers(p: bytes, n: int, at: int = 0) -> np.ndarray:
-    out = np.frombuffer(p, np.uint8, n, at).astype(np.int64)
-    large = np.flatnonzero(out == 255)
-    out[large] = np.frombuffer(p, np.int64, len(large), at + n)
+    size = -(-2 * n // 8)
+    bits = np.unpackbits(np.frombuffer(p, np.uint8, size, at), count=2 * n).reshape(n, 2)
+    out = (bits[:, 0] << 1 | bits[:, 1]).astype(np.int32)
+    some = np.flatnonzero(out == 3)
+    more = np.frombuffer(p, np.uint8, len(some), at + size).astype(np.int32)
+    large = np.flatnonzero(more == 255)
+    more[large] = np.frombuffer(p, np.int64, len(large), at + size + len(some))
+    out[some] += more
     return out
 
 
+@functools.cache
+def edges_of(n: int) -> np.ndarray:
+    return edges(n)
+
+
 def _vocabulary(n: int):
     """A task's distinct words by bucket, and how many words it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(parts: list[np.ndarray], total: int) -> Iterator[pa.RecordBatch]:
             keys = np.unique(np.concatenate(parts))
-            found = [(b, int(total if not k else 0), _tails(keys[i:j])) for k, (b, i, j) in enumerate(slices(keys, n))]
+            found = [(b, int(total if not k else 0), j - i, _tails(keys[i:j], b, n)) for k, (b, i, j) in enumerate(slices(keys, n))]
             yield from _table(found, _VOCABULARY).to_batches()
 
         parts: list[np.ndarray] = []
@@ -111,11 +145,11 @@ def _vocabulary(n: int):
     return run
 
 
-_VOCABULARY = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
+_VOCABULARY = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("size", pa.int32()), ("payload", pa.binary())])
 
 
 def _distinct(table: pa.Table) -> pa.Table:
-    parts = [_from_tails(p, len(p) // 5) for p in table["payload"].to_pylist()]
+    parts = [_from_tails(p, m)[0] for p, m in zip(table["payload"].to_pylist(), table["size"].to_pylist(), strict=True)]
     return pa.table({"n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "v": pa.array([len(np.unique(np.concatenate(parts)))], pa.int64())})
 
 
@@ -127,21 +161,21 @@ class Grams:
         n = np.diff(self.first)
         taught = np.repeat(learn, n)
         before = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], n)
-        self.keys, self.counts, self.ends, self.number = {}, {}, {}, {}
+        self.keys, self.counts, self.number = {}, {}, {}
         for k in range(1, ORDER + 1):
-            at = np.flatnonzero(before >= k - 1)
-            own = (tx.word_grams(self.tokens, k) if k > 1 else self.tokens)[at - k + 1] if len(at) else np.zeros(0, tx.U64)
+            at = np.flatnonzero(before >= k - 1).astype(np.int32)
+            own = (tx.word_grams(self.tokens, k) if k > 1 else self.tokens)[at - (k - 1)] if len(at) else np.zeros(0, tx.U64)
             self.keys[k], which = np.unique(own, return_inverse=True)
-            self.counts[k] = np.bincount(which, weights=taught[at], minlength=len(self.keys[k])).astype(np.int64)
-            self.ends[k] = at
-            self.number[k] = np.full(len(self.tokens), -1, np.int64)
+            del own
+            self.counts[k] = np.bincount(which, weights=taught[at], minlength=len(self.keys[k])).astype(np.int32)
+            self.number[k] = np.full(len(self.tokens), -1, np.int32)
             self.number[k][at] = which
 
 
 def _ask(n: int):
     def run(table: pa.Table) -> pa.Table:
         block, g = table[BLOCK][0].as_py(), Grams(table["t"], table["learn"].to_numpy(zero_copy_only=False))
-        return _table([(k, b, block, j - i, _tails(g.keys[k][i:j]) + _numbers(g.counts[k][i:j])) for k in g.keys for b, i, j in slices(g.keys[k], n)], _ROWS)
+        return _table([(k, b, block, j - i, _tails(g.keys[k][i:j], b, n) + _numbers(g.counts[k][i:j])) for k in g.keys for b, i, j in slices(g.keys[k], n)], _ROWS)
 
     return _quiet(run)
 
@@ -151,8 +185,9 @@ def _add(table: pa.Table) -> pa.Table:
     rows, tails, counts = [], [], []
     for kind, bucket, block, n, p in zip(*(table[c].to_pylist() for c in ("kind", "bucket", "block", "n", "payload")), strict=True):
         rows.append((kind, bucket, block, n))
-        tails.append(_from_tails(p, n))
-        counts.append(_from_numbers(p, n, 5 * n))
+        tail, at = _from_tails(p, n)
+        tails.append(tail)
+        counts.append(_from_numbers(p, n, at))
     names, which = np.unique(np.concatenate(tails), return_inverse=True)
     total = np.bincount(which, weights=np.concatenate(counts), minlength=len(names)).astype(np.int64)
     each = np.split(total[which], np.cumsum([len(t) for t in tails])[:-1])
@@ -206,14 +241,15 @@ def _logs(g: Grams, counts: dict[int, np.ndarray], total: float, vocabulary: int
     The automaton forgets all but the last ORDER - 1 words, so the state behind a place is the longest known context that ends
     there, whatever came before. So the steps of the traversal needn't wait for each other.
     """
-    word = g.number[1]
+    word = g.number[1].astype(np.int64)
     p = {1: (counts[1] + 0.5) / (total + 0.5 * (vocabulary + 1))}
     root = np.log10(p[1])
     automaton = Automaton(root, np.zeros(len(root), np.int64))
-    one = {k: np.zeros(len(g.keys[k]), np.int64) for k in g.keys}  # a place where each n-gram ends
+    one = {k: np.zeros(len(g.keys[k]), np.int32) for k in g.keys}  # a place where each n-gram ends
     for k in g.keys:
-        one[k][g.number[k][g.ends[k]]] = g.ends[k]
-    state = {k: np.zeros(len(g.keys[k]), np.int64) for k in g.keys}  # 0: it is no context
+        at = np.flatnonzero(g.number[k] >= 0)
+        one[k][g.number[k][at]] = at
+    state = {k: np.zeros(len(g.keys[k]), np.int64) for k in range(1, ORDER)}  # 0: it is no context
     arcs = []
     for k in range(1, ORDER + 1):
         at = one[k]
@@ -254,7 +290,8 @@ def _score(n: int, total: float, vocabulary: int):
         before = np.zeros(len(reached), np.int64)
         before[1:] = reached[:-1]
         before[g.first[:-1]] = 0
-        logs, _ = automaton.step(before, g.number[1])
+        word = g.number[1]
+        logs = np.concatenate([automaton.step(before[i : i + STEPS], word[i : i + STEPS].astype(np.int64))[0] for i in range(0, len(word), STEPS)])
         sums = lambda x: np.add.reduceat(x, g.first[:-1])
         values = (np.diff(g.first), sums((counts[1][g.number[1]] > 0).astype(np.int64)), sums(automaton.root[g.number[1]]), sums(logs))
         return pa.table([docs["_key"], *(pa.array(v, f.type) for v, f in zip(values, _SCORED, strict=True))], names=["_key", *_SCORED.names])
@@ -274,10 +311,10 @@ def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> D
     from. Repeated rows count and are scored each, also those that share an id. A very long text is a block of its own. An
     empty table gives an empty one; with nothing to learn from, all words are unknown. Other columns are left out.
     """
-    blocks = block_count(docs, text)
-    n = blocks * BUCKETS
+    n = block_count(docs, text)
+    blocks = 2 * n  # of half the size, for the memory that all n-grams of a block take
     learn = F.coalesce(train, F.lit(False))
-    words = docs.filter(learn).select(F.col(text).alias("t")).mapInArrow(_vocabulary(n), "bucket int, n bigint, payload binary")
+    words = docs.filter(learn).select(F.col(text).alias("t")).mapInArrow(_vocabulary(n), "bucket int, n bigint, size int, payload binary")
     total, vocabulary = words.groupBy("bucket").applyInArrow(_quiet(_distinct), "n bigint, v bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
     base = docs.select(F.col(key).alias("_key"), F.col(text).alias("t"), learn.alias("learn"))

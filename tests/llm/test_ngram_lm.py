@@ -97,5 +97,21 @@ def test_traversal():
         for a, b in zip(g.first[:-1], g.first[1:]):
             state = np.zeros(1, np.int64)
             for i in range(a, b):
-                _, state = automaton.step(state, g.number[1][i : i + 1])
+                _, state = automaton.step(state, g.number[1][i : i + 1].astype(np.int64))
                 assert state[0] == reached[i] or i == b - 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000])
+def test_packing(n):
+    import numpy as np
+
+    r = np.random.default_rng(n)
+    lm_slices = lm.slices
+    for size in (1, 2, 5, 4096, 5000):
+        keys = np.unique(r.integers(0, 1 << 64, size, np.uint64))
+        for b, i, j in lm_slices(keys, n):
+            p = lm._tails(keys[i:j], b, n)
+            tails, used = lm._from_tails(p + b"x", j - i)
+            assert used == len(p) and len(np.unique(tails)) == j - i and (np.diff(tails) > 0).all() and tails.max() < 1 << lm.TAIL
+    counts = np.array([0, 1, 2, 3, 4, 257, 258, 259, 10**6, 0, 1])
+    assert (lm._from_numbers(b"x" + lm._numbers(counts), len(counts), 1) == counts).all()
