@@ -89,13 +89,13 @@ def search_bm25_and(table, spark):
 
 
 @query("""
-WITH m AS (SELECT doc_id % 50 AS qid, CAST(doc_id % 7 AS VARCHAR) AS id, n_chars / 8.0::DOUBLE AS score, source, n_chars % 3 = 0 AS verbatim, CASE WHEN doc_id % 4 = 0 THEN '' ELSE left(text, 20) END AS definition, doc_id AS ord FROM documents)
+WITH m AS (SELECT doc_id % 50 AS qid, CAST(doc_id % 7 AS VARCHAR) AS id, n_chars / 8.0::DOUBLE AS score, source, n_chars % 3 = 0 AS verbatim, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS definition, doc_id AS ord FROM documents)
 SELECT qid, id, max(score) AS score, array_to_string(list_sort(list(DISTINCT source)), ', ') AS sources, bool_or(verbatim) AS verbatim,
        arg_min(definition, ord) FILTER (WHERE definition <> '') AS definition FROM m GROUP BY qid, id""")
 def search_dedup_sources(table, spark):
     """Matches of several sources made one per id."""
     d = table("documents")
-    m = d.select((F.col("doc_id") % 50).alias("qid"), (F.col("doc_id") % 7).cast("string").alias("id"), (F.col("n_chars") / 8).alias("score"), "source", (F.col("n_chars") % 3 == 0).alias("verbatim"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.substring("text", 1, 20)).alias("definition"), F.col("doc_id").alias("ord"))
+    m = d.select((F.col("doc_id") % 50).alias("qid"), (F.col("doc_id") % 7).cast("string").alias("id"), (F.col("n_chars") / 8).alias("score"), "source", (F.col("n_chars") % 3 == 0).alias("verbatim"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("text")).alias("definition"), F.col("doc_id").alias("ord"))
     return search.merge_sources(m)
 
 
@@ -155,10 +155,10 @@ def _sql_replace(x: str) -> str:
     return x
 
 
-@query(f"""SELECT page_id, {_sql_replace("concat('“', url, '” – …', left(html, 200))")} AS plain FROM pages""")
+@query(f"""SELECT page_id, {_sql_replace("concat('“', url, '” – …', html)")} AS plain FROM pages""")
 def normalize_typography(table, spark):
     """Typographic characters made plain."""
-    return table("pages").select("page_id", t.normalize_text(F.concat(F.lit("“"), "url", F.lit("” – …"), F.substring("html", 1, 200))).alias("plain"))
+    return table("pages").select("page_id", t.normalize_text(F.concat(F.lit("“"), "url", F.lit("” – …"), "html")).alias("plain"))
 
 
 def _sql_strip(x: str) -> str:
@@ -270,7 +270,7 @@ def edge_last_parent(table, spark):
     return hierarchy.last_parent(li.select(F.concat(F.lit("C"), "l_partkey").alias("source"), F.concat(F.lit("P"), "l_suppkey").alias("target"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord")))
 
 
-_RANGES = "SELECT p_brand AS grp, p_size AS start, p_size + CAST(p_partkey % 10 AS INTEGER) AS stop, CAST(p_partkey AS VARCHAR) AS code FROM part WHERE p_partkey % 5 = 0"
+_RANGES = "SELECT p_brand AS grp, p_size AS start, p_size + CAST(p_partkey % 10 AS INTEGER) AS stop, CAST(p_partkey AS VARCHAR) AS code FROM part"
 
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY start, stop DESC, code) AS n FROM ({_RANGES}) x),
@@ -278,7 +278,7 @@ p AS (SELECT a.grp, a.start, a.stop, a.code, max(b.n) AS at FROM r a LEFT JOIN r
 SELECT p.grp, p.start, p.stop, p.code, b.code AS is_a FROM p LEFT JOIN r b ON b.grp = p.grp AND b.n = p.at""")
 def interval_parent(table, spark):
     """Parents of nested intervals."""
-    p = table("part").filter("p_partkey % 5 = 0")
+    p = table("part")
     return hierarchy.interval_parent(p.select(F.col("p_brand").alias("grp"), F.col("p_size").alias("start"), (F.col("p_size") + F.col("p_partkey") % 10).cast("int").alias("stop"), F.col("p_partkey").cast("string").alias("code")))
 
 
@@ -312,11 +312,11 @@ def ranked_sort_order(table, spark):
     return ranks.ranked_order(p.select(F.col("p_type").alias("enum_key"), F.col("p_brand").alias("grp"), F.col("p_partkey").cast("string").alias("code"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).alias("rank"), F.col("p_partkey").alias("ord")))
 
 
-@query("""WITH s AS (SELECT p_brand AS grp, p_size AS code FROM part WHERE p_size % 3 = 0 AND p_size < 20), e AS (SELECT grp, min(code) AS lo, max(code) AS hi, count(DISTINCT code) AS n FROM s GROUP BY grp)
+@query("""WITH s AS (SELECT p_brand AS grp, CAST(p_size % 7 * 3 AS INTEGER) AS code FROM part), e AS (SELECT grp, min(code) AS lo, max(code) AS hi, count(DISTINCT code) AS n FROM s GROUP BY grp)
 SELECT e.grp, CAST(u.code AS INTEGER) AS code, NOT EXISTS (SELECT 1 FROM s WHERE s.grp = e.grp AND s.code = u.code) AS is_intermediate FROM e, unnest(range(lo, hi + 1)) AS u(code) WHERE n >= 2 AND hi - lo <= 20""")
 def gap_fill_scale(table, spark):
     """Missing steps of whole-number scales."""
-    return ranks.gap_fill(table("part").filter("p_size % 3 = 0 AND p_size < 20").select(F.col("p_brand").alias("grp"), F.col("p_size").alias("code")))
+    return ranks.gap_fill(table("part").select(F.col("p_brand").alias("grp"), (F.col("p_size") % 7 * 3).cast("int").alias("code")))
 
 
 @query("""WITH p AS (SELECT p_brand AS grp, p_partkey AS code, CASE WHEN p_partkey % 4 = 0 THEN p_name END AS title FROM part)
@@ -326,12 +326,12 @@ def neighbour_labels(table, spark):
     return ranks.between_labels(table("part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("code"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).alias("title")))
 
 
-@query("""WITH l AS (SELECT doc_id // 4 AS id, lang, doc_id % 3 = 0 AS preferred, left(text, 30) AS title, doc_id AS ord FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id, lang ORDER BY preferred DESC, ord) AS n FROM l)
+@query("""WITH l AS (SELECT doc_id // 4 AS id, lang, doc_id % 3 = 0 AS preferred, text AS title, doc_id AS ord FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id, lang ORDER BY preferred DESC, ord) AS n FROM l)
 SELECT id, lang, preferred, title, ord FROM r WHERE n = 1""")
 def best_label_per_lang(table, spark):
     """One label for each language."""
     d = table("documents")
-    return ranks.best_labels(d.select(F.floor(F.col("doc_id") / 4).alias("id"), "lang", (F.col("doc_id") % 3 == 0).alias("preferred"), F.substring("text", 1, 30).alias("title"), F.col("doc_id").alias("ord")))
+    return ranks.best_labels(d.select(F.floor(F.col("doc_id") / 4).alias("id"), "lang", (F.col("doc_id") % 3 == 0).alias("preferred"), F.col("text").alias("title"), F.col("doc_id").alias("ord")))
 
 
 @query("""WITH r AS (SELECT p_size AS id, p_type AS type FROM part), f AS (SELECT type, count(*) AS n FROM r GROUP BY type), x AS (SELECT DISTINCT id, r.type, n FROM r JOIN f ON f.type = r.type), y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, type) AS k FROM x)
@@ -341,11 +341,11 @@ def most_frequent_type(table, spark):
     return ranks.dominant_type(table("part").select(F.col("p_size").alias("id"), F.col("p_type").alias("type")))
 
 
-@query("""WITH n AS (SELECT p_brand AS grp, p_type AS type, count(*) AS n FROM part WHERE p_partkey % 9 = 0 GROUP BY 1, 2)
+@query("""WITH n AS (SELECT p_brand AS grp, p_type AS type, count(*) AS n FROM part GROUP BY 1, 2)
 SELECT grp, type, n, n >= 2 AND sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY grp) >= 2 AS header, CAST(row_number() OVER (PARTITION BY grp ORDER BY n DESC, type) AS INTEGER) AS position FROM n""")
 def type_group_headers(table, spark):
     """Types that head their members."""
-    return ranks.type_groups(table("part").filter("p_partkey % 9 = 0").select(F.col("p_brand").alias("grp"), F.col("p_type").alias("type")))
+    return ranks.type_groups(table("part").select(F.col("p_brand").alias("grp"), F.col("p_type").alias("type")))
 
 
 @query("""WITH e AS (SELECT user_id AS id, event_type AS type, value > 50 AS flag, CASE WHEN event_id % 2 = 0 THEN value END AS value, CAST(event_id % 4 AS VARCHAR) AS parent, event_id AS ord FROM events)
@@ -511,22 +511,22 @@ def object_uri_first_exact(table, spark):
     return mappings.first_object(_mappings(table), "skos:exactMatch")
 
 
-@query("""WITH l AS (SELECT source AS enum_key, CAST(doc_id // 4 AS VARCHAR) AS code, lang, doc_id, left(text, 12) AS title FROM documents),
+@query("""WITH l AS (SELECT source AS enum_key, CAST(doc_id // 4 AS VARCHAR) AS code, lang, doc_id, text AS title FROM documents),
 loc AS (SELECT enum_key, code, lang, min(title) AS title FROM l GROUP BY 1, 2, 3), tr AS (SELECT enum_key, code, 'fr' AS lang, max('T' || doc_id) AS title FROM l WHERE doc_id % 3 = 0 GROUP BY 1, 2)
 SELECT loc.* FROM loc LEFT JOIN tr USING (enum_key, code, lang) WHERE tr.title IS NULL UNION ALL SELECT * FROM tr""")
 def translation_overlay(table, spark):
     """Translations put into locale rows."""
-    l = table("documents").select(F.col("source").alias("enum_key"), F.floor(F.col("doc_id") / 4).cast("string").alias("code"), "lang", "doc_id", F.substring("text", 1, 12).alias("title"))
+    l = table("documents").select(F.col("source").alias("enum_key"), F.floor(F.col("doc_id") / 4).cast("string").alias("code"), "lang", "doc_id", F.col("text").alias("title"))
     rows = l.filter("doc_id % 3 = 0").select(F.concat(F.lit("ns:src:"), "enum_key", F.lit(":choice:"), "code").alias("subject_id"), F.concat(F.lit('"T'), "doc_id", F.lit('"@fr')).alias("object_id"))
     return mappings.translated(l.groupBy("enum_key", "code", "lang").agg(F.min("title").alias("title")), rows)
 
 
-@query("""WITH l AS (SELECT doc_id // 2 AS code, lang, CASE WHEN doc_id % 5 = 0 THEN 'same' ELSE left(text, 9) END AS title FROM documents), d AS (SELECT CAST(range AS BIGINT) AS code, 'same' AS title FROM range(0, 100))
+@query("""WITH l AS (SELECT doc_id // 2 AS code, lang, CASE WHEN doc_id % 5 = 0 THEN 'same' ELSE text END AS title FROM documents), d AS (SELECT code, min(title) AS title FROM l WHERE lang = 'en' GROUP BY code)
 SELECT l.code, l.lang, l.title FROM l LEFT JOIN d ON d.code = l.code WHERE l.title IS DISTINCT FROM d.title""")
 def locale_delta(table, spark):
     """Labels that differ from the default language's."""
-    l = table("documents").select(F.floor(F.col("doc_id") / 2).alias("code"), "lang", F.when(F.col("doc_id") % 5 == 0, "same").otherwise(F.substring("text", 1, 9)).alias("title"))
-    return merge.locale_delta(l, spark.range(100).select(F.col("id").alias("code"), F.lit("same").alias("title")), ["code"])
+    l = table("documents").select(F.floor(F.col("doc_id") / 2).alias("code"), "lang", F.when(F.col("doc_id") % 5 == 0, "same").otherwise(F.col("text")).alias("title"))
+    return merge.locale_delta(l, l.filter("lang = 'en'").groupBy("code").agg(F.min("title").alias("title")), ["code"])
 
 
 @query("""SELECT s_suppkey AS code, 'skos:broader' AS predicate_id, u.o AS object_id FROM supplier JOIN nation ON s_nationkey = n_nationkey, unnest(list_filter([CASE WHEN s_suppkey % 3 <> 0 THEN 'N' || s_nationkey END, 'R' || n_regionkey], lambda x: x IS NOT NULL)) AS u(o)""")
@@ -567,14 +567,14 @@ def positional_join(table, spark):
     return matching.positional(u, a, "conv_id", "t1", "t2").select("conv_id", "place", "asked", "told")
 
 
-@query(f"""WITH a AS (SELECT item_id AS lid, {_sql_tokens("left(text, 120)")} AS lt FROM benchmark), b AS (SELECT doc_id AS rid, {_sql_tokens("left(text, 120)")} AS rt FROM documents),
+@query(f"""WITH a AS (SELECT item_id AS lid, {_sql_tokens("split_part(text, '.', 1)")} AS lt FROM benchmark), b AS (SELECT doc_id AS rid, {_sql_tokens("split_part(text, '.', 1)")} AS rt FROM documents),
 s AS (SELECT lid, rid, round(len(list_intersect(lt, rt)) / len(list_distinct(list_concat(lt, rt))), 4) AS score FROM a, b WHERE len(list_intersect(lt, rt)) > 0),
 f AS (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY score DESC, rid) AS n FROM s WHERE score >= 0.2), g AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, lid) AS m FROM f WHERE n = 1)
 SELECT lid, rid, score FROM g WHERE m = 1""")
 def jaccard_assignment(table, spark):
     """Items and documents paired one to one by token Jaccard."""
-    b = table("benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 120).alias("title"))
-    d = table("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("title"))
+    b = table("benchmark").select(F.col("item_id").alias("id"), F.substring_index("text", ".", 1).alias("title"))
+    d = table("documents").select(F.col("doc_id").alias("id"), F.substring_index("text", ".", 1).alias("title"))
     return matching.assigned(b, d, 0.2)
 
 
@@ -601,12 +601,12 @@ def grounding_counts(table, spark):
     return matching.grounded(table("benchmark"), table("documents").select("doc_id", "text"))
 
 
-@query("""WITH o AS (SELECT source AS enum_key, CAST(doc_id // 2 AS VARCHAR) AS code, left(text, 8) AS title FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 0), n AS (SELECT o.enum_key, o.code, CASE WHEN len(o.code) = 2 THEN upper(o.title) ELSE o.title END AS title FROM o WHERE o.code NOT LIKE '%7' UNION ALL SELECT 'new', CAST(doc_id AS VARCHAR), 'x' FROM documents WHERE doc_id < 20)
+@query("""WITH o AS (SELECT source AS enum_key, CAST(doc_id // 2 AS VARCHAR) AS code, text AS title FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 0), n AS (SELECT o.enum_key, o.code, CASE WHEN len(o.code) = 2 THEN upper(o.title) ELSE o.title END AS title FROM o WHERE o.code NOT LIKE '%7' UNION ALL SELECT 'new', CAST(doc_id AS VARCHAR), 'x' FROM documents WHERE doc_id < 20)
 SELECT * FROM (SELECT coalesce(o.enum_key, n.enum_key) AS enum_key, coalesce(o.code, n.code) AS code, CASE WHEN o.code IS NULL THEN 'added' WHEN n.code IS NULL THEN 'removed' WHEN o.title IS DISTINCT FROM n.title THEN 'retitled' END AS action FROM o FULL JOIN n ON o.enum_key = n.enum_key AND o.code = n.code) x WHERE action IS NOT NULL""")
 def schema_diff(table, spark):
     """Added, removed and retitled values."""
     d = table("documents")
-    o = d.filter("doc_id % 2 = 0 AND doc_id % 10 <> 0").select(F.col("source").alias("enum_key"), F.floor(F.col("doc_id") / 2).cast("string").alias("code"), F.substring("text", 1, 8).alias("title"))
+    o = d.filter("doc_id % 2 = 0 AND doc_id % 10 <> 0").select(F.col("source").alias("enum_key"), F.floor(F.col("doc_id") / 2).cast("string").alias("code"), F.col("text").alias("title"))
     n = o.filter("code NOT LIKE '%7'").withColumn("title", F.when(F.length("code") == 2, F.upper("title")).otherwise(F.col("title")))
     n = n.unionByName(d.filter("doc_id < 20").select(F.lit("new").alias("enum_key"), F.col("doc_id").cast("string").alias("code"), F.lit("x").alias("title")))
     return merge.schema_diff(o, n)
@@ -650,12 +650,12 @@ def lookup_report(table, spark):
 
 # sources, reports and streams
 
-@query("""SELECT page_id, CASE WHEN regexp_matches(url, '\\.html($|\\?)') THEN 'page' WHEN regexp_matches(url, '(?i)/en/') THEN 'english' WHEN regexp_matches(left(html, 200), '(?is)<html lang=.fr') THEN 'french' ELSE 'other' END AS kind FROM pages""")
+@query("""SELECT page_id, CASE WHEN regexp_matches(url, '\\.html($|\\?)') THEN 'page' WHEN regexp_matches(url, '(?i)/en/') THEN 'english' WHEN regexp_matches(html, '(?is)<html lang=.fr') THEN 'french' ELSE 'other' END AS kind FROM pages""")
 def source_detect_rules(table, spark):
     """Kinds of sources by the first rule that matches URL or head."""
     p = table("pages")
     rules = [("url", r"\.html($|\?)", "page"), ("url", r"(?i)/en/", "english"), ("head", r"(?is)<html lang=.fr", "french")]
-    return p.select("page_id", readers.content_type(F.col("url"), F.substring("html", 1, 200), rules, "other").alias("kind"))
+    return p.select("page_id", readers.content_type(F.col("url"), "html", rules, "other").alias("kind"))
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
@@ -672,18 +672,18 @@ def sovereignty_rules(table, spark):
     return s.select("s_suppkey", kind.alias("kind"))
 
 
-@query("""SELECT doc_id // 4 AS id, max(CASE WHEN lang = 'en' THEN left(text, 10) END) AS en, max(CASE WHEN lang = 'fr' THEN left(text, 10) END) AS fr FROM documents GROUP BY 1""")
+@query("""SELECT doc_id // 4 AS id, max(CASE WHEN lang = 'en' THEN text END) AS en, max(CASE WHEN lang = 'fr' THEN text END) AS fr FROM documents GROUP BY 1""")
 def locale_pivot(table, spark):
     """A column of titles for each language."""
-    d = table("documents").select(F.floor(F.col("doc_id") / 4).alias("id"), "lang", F.substring("text", 1, 10).alias("title"))
+    d = table("documents").select(F.floor(F.col("doc_id") / 4).alias("id"), "lang", F.col("text").alias("title"))
     return d.groupBy("id").pivot("lang", ["en", "fr"]).agg(F.max("title"))
 
 
-@query("""WITH r AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_partkey % 7 = 0), l AS (SELECT p_brand AS enum_key, list_sort(list(p_type)) AS ts FROM r GROUP BY 1)
+@query("""WITH r AS (SELECT DISTINCT p_brand, p_type FROM part), l AS (SELECT p_brand AS enum_key, list_sort(list(p_type)) AS ts FROM r GROUP BY 1)
 SELECT enum_key, CASE len(ts) WHEN 1 THEN ts[1] WHEN 2 THEN ts[1] || ' or ' || ts[2] ELSE array_to_string(ts[1 : len(ts) - 1], ', ') || ', or ' || ts[len(ts)] END || ' of ' || enum_key AS title FROM l""")
 def enum_title_synthesis(table, spark):
     """Titles made of an enum's types."""
-    return ranks.titles(table("part").filter("p_partkey % 7 = 0").select(F.col("p_brand").alias("enum_key"), F.col("p_type").alias("type")))
+    return ranks.titles(table("part").select(F.col("p_brand").alias("enum_key"), F.col("p_type").alias("type")))
 
 
 @query("""WITH y AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?:19|20)[0-9]{2}'), lambda x: CAST(x AS INTEGER)) AS ys FROM pages) SELECT page_id, list_max(ys) AS year FROM y""")
@@ -830,8 +830,7 @@ def key_set_drift(table, spark):
 @query("""SELECT source AS subject, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:3], ',') AS first FROM documents GROUP BY 1""")
 def catalog_groups(table, spark):
     """Entries of a catalogue by subject."""
-    d = table("documents").groupBy(F.col("source").alias("subject"))
-    return d.agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("doc_id")), 1, 3).cast("array<string>"), ",").alias("first"))
+    return ranks.first_members(table("documents").select(F.col("source").alias("subject"), F.col("doc_id").alias("id")), 3)
 
 
 @query("SELECT CAST(max(p_partkey) + 1 AS BIGINT) AS next_id FROM part")

@@ -25,9 +25,8 @@ def text_of(column: Column) -> Column:
 
 def tokens(column: Column) -> Column:
     """Distinct words of two letters or more that aren't stop words, lower-cased."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    found = F.regexp_extract_all(F.lower(text_of(column)), F.lit("[a-z]+"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
+    found = F.regexp_extract_all(F.lower(text_of(column)), F.lit("[a-z]{2,}"), F.lit(0))
+    return F.array_except(found, F.array(*map(F.lit, STOPWORDS)))
 
 
 def overlap_score(query: Column, target: Column) -> Column:

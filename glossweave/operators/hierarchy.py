@@ -44,22 +44,45 @@ def surviving_parent(tree: DataFrame) -> DataFrame:
     return tree.filter(~F.col("dropped")).select("code").join(nearest, "code", "left")
 
 
-def parent_by_level_stack(rows: DataFrame, levels: int = 12) -> DataFrame:
-    """Parent: the nearest row before with a lower level, if that is one level up. Rows: (grp, ord, level, code); levels are 1 to levels."""
-    w = Window.partitionBy("grp").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = {n: F.last(F.when(F.col("level") == n, F.struct("ord", "level", "code")), ignorenulls=True).over(w) for n in range(1, levels)}
-    lower = F.greatest(*(F.when(F.col("level") > n, x) for n, x in last.items()))
-    return rows.withColumn("_p", lower).withColumn("is_a", F.when(F.col("_p.level") == F.col("level") - 1, F.col("_p.code"))).drop("_p")
-
-
-def parent_by_level_scan(rows: DataFrame, levels: int = 12) -> DataFrame:
-    """Parent: the nearest row before that is one level up, however far back; levels are 1 to levels."""
-    w = Window.partitionBy("grp").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = {n: F.last(F.when(F.col("level") == n, F.col("code")), ignorenulls=True).over(w) for n in range(1, levels)}
-    parent = F.lit(None).cast("string")
-    for n, code in last.items():
-        parent = F.when(F.col("level") == n + 1, code).otherwise(parent)
-    return rows.withColumn("is_a", parent)
+def parent_by_level_stack(rows: DataFrame) -> DataFrame:
+    """Parent: the nearest row before with a lower level, if that is one level up. Rows: (grp, ord, level, code), any level.
+
+    One pass over a group's sorted rows keeps a stack of levels that rise from bottom to top. Rows without a level have no
+    parent and are none.
+    """
+    base = rows.drop("is_a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stack = None, []
+        for batch in batches:
+            parents = []
+            for grp, level, code in zip(*(batch.column(c).to_pylist() for c in ("grp", "level", "code")), strict=True):
+                if grp != group:
+                    group, stack = grp, []
+                if level is None:
+                    parents.append(None)
+                    continue
+                while stack and stack[-1][0] >= level:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack and stack[-1][0] == level - 1 else None)
+                stack.append((level, code))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parents, batch.schema.field("code").type)], [*batch.schema.names, "is_a"])
+
+    dealt = base.repartition("grp").sortWithinPartitions("grp", "ord")
+    return dealt.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("is_a", base.schema["code"].dataType)]))
+
+
+def parent_by_level_scan(rows: DataFrame) -> DataFrame:
+    """Parent: the nearest row before that is one level up, however far back; any level.
+
+    Each row is the parent of the level below and a child of its own, so a window over the level that both meet in finds it.
+    """
+    base = rows.drop("is_a")
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("child"), F.col("level").alias("meet")), F.struct(F.lit(False).alias("child"), (F.col("level") + 1).alias("meet"))))
+    both = base.withColumn("_s", sides)
+    w = Window.partitionBy("grp", "_s.meet").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    found = F.last(F.when(~F.col("_s.child"), F.col("code")), ignorenulls=True).over(w)
+    return both.withColumn("is_a", found).filter("_s.child").drop("_s")
 
 
 def dotted_parent(pvs: DataFrame) -> DataFrame:

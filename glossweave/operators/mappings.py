@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.stages import bounded
+
 
 def pivoted(mappings: DataFrame, predicates: list[str]) -> DataFrame:
     """A column of each subject's objects, in order, for each predicate."""
@@ -25,7 +27,7 @@ def first_object(mappings: DataFrame, predicate: str) -> DataFrame:
 
 def longest_prefix(iris: DataFrame, prefixes: DataFrame) -> DataFrame:
     """iris (iri) with a CURIE by the longest URI that begins them. Prefixes are a small registry."""
-    hit = iris.join(F.broadcast(prefixes), F.startswith("iri", "uri"), "left")
+    hit = iris.join(bounded(prefixes), F.startswith("iri", "uri"), "left")
     best = hit.groupBy("iri").agg(F.max_by(F.struct("prefix", "uri"), F.struct(F.length("uri"), "prefix")).alias("p"))
     return best.select("iri", F.when(F.col("p.prefix").isNotNull(), F.concat("p.prefix", F.lit(":"), F.expr("substring(iri, length(p.uri) + 1)"))).alias("curie"))
 

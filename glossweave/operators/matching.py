@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as t
+from ..plans.stages import bounded
 
 
 def range_bucket(rows: DataFrame, ranges: DataFrame, column: str) -> DataFrame:
     """rows with the category of the range (lo, hi, category) that their value is in; ranges are a small table without overlaps."""
-    return rows.join(F.broadcast(ranges), F.col(column).between(F.col("lo"), F.col("hi")), "left").drop("lo", "hi")
+    return rows.join(bounded(ranges), F.col(column).between(F.col("lo"), F.col("hi")), "left").drop("lo", "hi")
 
 
 def cascade(rows: DataFrame, *maps: tuple[DataFrame, str]) -> DataFrame:
@@ -41,11 +42,19 @@ def token_jaccard(a, b):
 def assigned(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     """One to one: pairs (lid, rid, score) of token Jaccard of at least `least`, best of either side. Both: (id, title).
 
-    Candidates share a token, so no pair of strangers is compared.
+    Pairs of `least` share one of the n - ceil(least * n) + 1 rarest tokens of either side, so only these are joined: no
+    frequent word brings all its titles together.
     """
     words = lambda d, k: d.select(F.col("id").alias(k), t.tokens(F.col("title")).alias(k + "_t"))
     a, b = words(left, "lid"), words(right, "rid")
-    near = a.select("lid", F.explode("lid_t").alias("w")).join(b.select("rid", F.explode("rid_t").alias("w")), "w").select("lid", "rid").distinct()
+    each = lambda d, k: d.select(k, F.size(k + "_t").alias("n"), F.explode(k + "_t").alias("w"))
+    often = each(a, "lid").select("w").union(each(b, "rid").select("w")).groupBy("w").agg(F.count("*").alias("often"))
+
+    def rare(d: DataFrame, k: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(k).orderBy("often", "w"))
+        return each(d, k).join(often, "w").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(k, "w")
+
+    near = rare(a, "lid").join(rare(b, "rid"), "w").select("lid", "rid").distinct()
     scored = near.join(a, "lid").join(b, "rid").withColumn("score", F.round(token_jaccard(F.col("lid_t"), F.col("rid_t")), 4)).filter(F.col("score") >= least)
     best = lambda k, o: F.row_number().over(Window.partitionBy(k).orderBy(F.desc("score"), o))
     first = scored.withColumn("n", best("lid", "rid")).filter("n = 1")
@@ -69,13 +78,13 @@ def best_ratio(left: DataFrame, glossary: list[tuple[str, str]], least: float =
 
 def scale_matches(texts: DataFrame, scales: DataFrame) -> DataFrame:
     """Of each text (id, text) the scale (dimension, word) of which it holds most words; scales are a small table."""
-    hit = texts.join(F.broadcast(scales), t.holds(F.col("text"), F.col("word"))).groupBy("id", "dimension").agg(F.count("*").cast("double").alias("score"))
+    hit = texts.join(bounded(scales), t.holds(F.col("text"), F.col("word"))).groupBy("id", "dimension").agg(F.count("*").cast("double").alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "dimension")
     return hit.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
 def grounded(items: DataFrame, texts: DataFrame) -> DataFrame:
     """(item_id, n): in how many texts each of some items is found, ignoring case; the items are a small table."""
-    hit = texts.join(F.broadcast(items.select("item_id", F.col("text").alias("_item"))), t.holds(F.col("text"), F.col("_item")))
+    hit = texts.join(bounded(items.select("item_id", F.col("text").alias("_item"))), t.holds(F.col("text"), F.col("_item")))
     n = hit.groupBy("item_id").agg(F.count("*").alias("n"))
     return items.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"))

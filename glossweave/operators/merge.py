@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.stages import bounded
+
 
 def value(code: Column, title: Column, meaning: Column, prefixes: list[tuple[str, str]]) -> list[Column]:
     """title, left out where it is the code; meaning, compressed with the first prefix whose URI begins it."""
@@ -22,8 +24,8 @@ def included(rows: DataFrame, include: DataFrame, minus: DataFrame, on: list[str
     """Of a source with inclusions alone, just these; of others what minus leaves, and what is included in spite of it."""
     has = lambda d, name: d.select("source_key").distinct().withColumn(name, F.lit(True))
     marked = (
-        rows.join(F.broadcast(has(include, "_inc")), "source_key", "left")
-        .join(F.broadcast(has(minus, "_min")), "source_key", "left")
+        rows.join(bounded(has(include, "_inc")), "source_key", "left")
+        .join(bounded(has(minus, "_min")), "source_key", "left")
         .join(include.select(*on).distinct().withColumn("_in", F.lit(True)), on, "left")
         .join(minus.select(*on).distinct().withColumn("_out", F.lit(True)), on, "left")
     )

@@ -90,3 +90,10 @@ def titles(rows: DataFrame) -> DataFrame:
     many = F.concat(F.array_join(F.slice("ts", 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(", or "), F.element_at("ts", -1))
     listed = F.when(n == 1, F.element_at("ts", 1)).when(n == 2, F.array_join("ts", " or ")).otherwise(many)
     return each.select("enum_key", F.concat(listed, F.lit(" of "), "enum_key").alias("title"))
+
+
+def first_members(rows: DataFrame, k: int) -> DataFrame:
+    """(subject, n, first): how many members (subject, id) each subject has, and its first k in order, all that is ever gathered of it."""
+    w = Window.partitionBy("subject").orderBy("id")
+    first = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).groupBy("subject").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "id"))), lambda x: x["id"].cast("string")), ",").alias("first"))
+    return rows.groupBy("subject").agg(F.count("*").alias("n")).join(first, "subject").select("subject", "n", "first")

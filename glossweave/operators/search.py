@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as t
+from ..plans.stages import bounded
 
 K1, B = 1.2, 0.75
 
@@ -16,10 +17,11 @@ def with_tokens(terms: DataFrame) -> DataFrame:
 def overlap_search(queries: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
     """For each query (qid, term) the k terms (id, type, label, definition) of the best score over 0.
 
-    The queries are few, given by a user; each executor scans its share of the terms against them.
+    The queries are a stated set, given by a user: phrases may begin inside words, so each is looked for in every term.
+    Tokens of a term are taken once, its scores are computed in one row, and only those over 0 become rows.
     """
     asked = queries.select("qid", "term").withColumn("query_tokens", t.tokens(F.col("term")))
-    scored = F.broadcast(asked).crossJoin(with_tokens(terms))
+    scored = with_tokens(terms).crossJoin(bounded(asked))
     score = t.match_score(F.col("query_tokens"), F.col("term"), F.col("label"), F.col("definition"), F.col("label_tokens"), F.col("definition_tokens"))
     return top_k(scored.withColumn("score", F.round(score, 4)).filter("score > 0").select("qid", "id", "type", "score"), k)
 
@@ -40,14 +42,22 @@ def postings(terms: DataFrame) -> DataFrame:
 
 
 def bm25_all(queries: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
-    """BM25 of the documents that have all words of a query; words (qid, word) are distinct."""
-    posted = postings(terms).join(F.broadcast(queries.select("word").distinct()), "word")
+    """BM25 of the documents that have all words of a query; words (qid, word) are distinct.
+
+    Words that no query has are left out before anything is exploded or shuffled.
+    """
+    queries = bounded(queries)
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "label", "definition")), F.lit("[a-z0-9]+"), F.lit(0))
+    wanted = F.broadcast(queries.agg(F.collect_set("word").alias("_wanted")))  # one row, of a set whose size is checked
+    each = terms.select("id", words.alias("words")).crossJoin(wanted)
+    each = each.select("id", F.size("words").alias("len"), F.explode(F.filter("words", lambda w: F.array_contains("_wanted", w))).alias("word"))
+    posted = each.groupBy("id", "word", "len").agg(F.count("*").alias("f"))
     stats = terms.select(F.size(F.regexp_extract_all(F.lower(F.concat_ws(" ", "label", "definition")), F.lit("[a-z0-9]+"), F.lit(0))).alias("len")).agg(F.count("*").alias("total"), F.avg("len").alias("mean"))
     df = posted.groupBy("word").agg(F.count("*").alias("df"))
     needed = queries.groupBy("qid").agg(F.count("*").alias("needed"))
     idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    rows = posted.join(F.broadcast(df), "word").join(F.broadcast(queries), "word").crossJoin(F.broadcast(stats)).withColumn("part", part)
+    rows = posted.join(F.broadcast(df), "word").join(queries, "word").crossJoin(F.broadcast(stats)).withColumn("part", part)
     found = rows.groupBy("qid", "id").agg(F.sum("part").alias("score"), F.count("*").alias("n")).join(F.broadcast(needed), "qid").filter("n = needed")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 4)), "id")
     return found.select("qid", "id", F.round("score", 4).alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..plans.stages import bounded
+
 
 def glob_pattern(pattern: str) -> str:
     """A shell pattern (*, ?, [..]) as a regular expression for the whole text."""
@@ -75,4 +77,4 @@ def section_view(enums: DataFrame, pvs: DataFrame) -> DataFrame:
 def routed(prefixes: DataFrame, apis: DataFrame, default: str) -> DataFrame:
     """(prefix, api): the first API that serves a prefix, else the default. apis: (api, ord, prefix), a small table."""
     best = apis.groupBy(F.lower("prefix").alias("_p")).agg(F.min_by("api", "ord").alias("_api"))
-    return prefixes.join(F.broadcast(best), F.lower("prefix") == F.col("_p"), "left").select("prefix", F.coalesce("_api", F.lit(default)).alias("api"))
+    return prefixes.join(bounded(best), F.lower("prefix") == F.col("_p"), "left").select("prefix", F.coalesce("_api", F.lit(default)).alias("api"))

@@ -51,20 +51,33 @@ def classification_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.monotonically_increasing_id().alias("ord"), *cols).filter("code IS NOT NULL").withColumn("level", F.expr("try_cast(level AS int)"))
 
 
-def code_system(docs: DataFrame, depth: int = 6) -> DataFrame:
-    """(url, code, title, description, is_a, level) of FHIR code systems, concepts nested up to depth."""
-    concept = T.StructType([T.StructField("code", T.StringType()), T.StructField("display", T.StringType()), T.StructField("definition", T.StringType())])
-    for _ in range(depth - 1):
-        concept = T.StructType([*concept.fields[:3], T.StructField("concept", T.ArrayType(concept))])
-    schema = T.StructType([T.StructField("concept", T.ArrayType(concept))])
-    now = docs.select("url", F.explode(F.from_json("content", schema)["concept"]).alias("c"), F.lit(None).cast("string").alias("is_a"))
-    out = None
-    for level in range(1, depth + 1):
-        rows = now.select("url", F.col("c.code").alias("code"), F.col("c.display").alias("title"), _full(F.col("c.definition")).alias("description"), "is_a", F.lit(level).alias("level"))
-        out = rows if out is None else out.unionByName(rows)
-        if level < depth:
-            now = now.select("url", F.explode("c.concept").alias("k"), F.col("c.code").alias("is_a")).select("url", F.col("k").alias("c"), "is_a")
-    return out.filter("code IS NOT NULL")
+def code_system(docs: DataFrame) -> DataFrame:
+    """(url, code, title, description, is_a, level) of FHIR code systems, concepts however deeply nested; what isn't one gives nothing."""
+    import json
+
+    import pandas as pd
+
+    names = ["url", "code", "title", "description", "is_a", "level"]
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for url, content in zip(frame["url"], frame["content"], strict=True):
+                try:
+                    system = json.loads(content or "null")
+                except (ValueError, RecursionError):
+                    continue
+                todo = [(c, None, 1) for c in reversed((system.get("concept") or []) if isinstance(system, dict) else [])]
+                while todo:
+                    c, parent, level = todo.pop()
+                    if not isinstance(c, dict):
+                        continue
+                    if c.get("code") is not None:
+                        rows.append((url, str(c["code"]), c.get("display"), (c.get("definition") or "").strip() or None, parent, level))
+                    todo += [(x, c.get("code"), level + 1) for x in reversed(c.get("concept") or [])]
+            yield pd.DataFrame(rows, columns=names)
+
+    return docs.select("url", "content").mapInPandas(run, "url string, code string, title string, description string, is_a string, level int")
 
 
 def value_set(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from glossweave.operators.hierarchy import interval_parent
+from glossweave.operators.hierarchy import interval_parent, parent_by_level_scan, parent_by_level_stack
 
 DDL = "grp string, start int, stop int, code string"
 
@@ -36,3 +36,17 @@ def test_large_group(spark):
     # no row gathers the intervals before it
     assert "collect_list" not in df._jdf.queryExecution().toString()
     assert df.filter("is_a = string(start - 1) OR start = 0 AND is_a IS NULL").count() == n
+
+
+def test_levels(spark):
+    """Twenty levels, against the definition."""
+    r = random.Random(8)
+    rows = [(g, i, r.randint(1, 20) if i else 1, f"{g}{i}") for g in "ab" for i in range(150)] + [("c", 0, None, "c0"), ("c", 1, 2, "c1")]
+    df = spark.createDataFrame(rows, "grp string, ord int, level int, code string")
+    scan, stack = ({x.code: x.is_a for x in f(df).collect()} for f in (parent_by_level_scan, parent_by_level_stack))
+    for g, i, level, code in rows:
+        before = [x for x in rows if x[0] == g and x[1] < i and level and x[2]]
+        up = [x[3] for x in before if x[2] == level - 1]
+        lower = [x for x in before if x[2] < level]
+        assert scan[code] == (up[-1] if up else None)
+        assert stack[code] == (lower[-1][3] if lower and lower[-1][2] == level - 1 else None)

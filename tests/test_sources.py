@@ -114,3 +114,11 @@ def test_walks(spark):
     assert [(r.code, r.parent, r.depth) for r in got] == [("a", None, 0), ("b", "a", 1), ("c", "b", 2), ("d", "a", 1), ("x", None, 0), ("y", "x", 1)]
     nodes = spark.createDataFrame([("g", "a", None), ("g", "b", "minus"), ("g", "c", "include"), ("g", "d", None)], "grp string, code string, mark string")
     assert sorted((r.code, r.is_a) for r in walks.subtree_filter(nodes, edges.filter("parent IS NOT NULL AND grp = 'g'")).collect()) == [("a", None), ("c", "a"), ("d", "a")]
+
+
+def test_deep_code_system(spark):
+    concept = None
+    for k in reversed(range(9)):
+        concept = {"code": f"k{k}", **({"concept": [concept]} if concept else {})}
+    got = rows(readers.code_system(frame(spark, json.dumps({"concept": [concept]}), "[1]", None)), "code", "is_a", "level")
+    assert got == [(f"k{k}", f"k{k - 1}" if k else None, k + 1) for k in range(9)]
