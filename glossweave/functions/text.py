@@ -169,3 +169,121 @@ def source_key_of(column: Column) -> Column:
     """GeoNamesAdm1CA as GeoNames_ADM1_CA."""
     spaced = F.regexp_replace(column, r"^(GeoWiki|GeoNames)(Adm[0-9](?:Adm[0-9])?)([A-Z]{2})$", "$1_$2_$3")
     return F.concat(F.substring_index(spaced, "_", 1), F.upper(F.regexp_replace(spaced, r"^[A-Za-z]+", "")))
+
+
+def camel_case(column: Column) -> Column:
+    """A phrase with its first word in lower case and the others capitalized, without separators."""
+    words = F.filter(F.split(column, "[^A-Za-z0-9]+"), lambda w: w != "")
+    rest = F.array_join(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), capitalized), "")
+    return F.when(F.size(words) > 0, F.concat(F.lower(F.get(words, F.lit(0))), rest)).otherwise(F.lit(""))
+
+
+def camel_to_title(column: Column) -> Column:
+    """camelCase as words with capitals."""
+    spaced = F.regexp_replace(column, "([a-z0-9])([A-Z])", "$1 $2")
+    return F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 1 << 20))
+
+
+def class_name(column: Column) -> Column:
+    """GeoWiki_ADM3ADM4_CA as GeoWikiAdm3Adm4CA: levels are capitalized, other parts keep their case but for the first letter."""
+    part = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))
+    return F.regexp_replace(F.array_join(F.transform(F.split(column, "_"), part), ""), "ADM([0-9])", "Adm$1")
+
+
+#: Words before which the head of a noun phrase ends.
+PREPOSITIONS = ("of", "in", "for", "with", "under", "at", "on")
+
+
+def plural(column: Column) -> Column:
+    """A noun phrase in the plural: the word before the first preposition, or the last, changes."""
+    words = F.split(column, " ")
+    head = F.coalesce(F.nullif(F.array_position(F.transform(words, lambda w: w.isin(*PREPOSITIONS)), True), F.lit(0)) - 1, F.size(words).cast("long"))
+    one = F.element_at(words, F.greatest(head, F.lit(1)).cast("int"))
+    many = (
+        F.when(F.rlike(one, F.lit("[^aeiou]y$")), F.concat(F.regexp_replace(one, "y$", ""), F.lit("ies")))
+        .when(F.rlike(one, F.lit("(s|x|z|ch|sh)$")), F.concat(one, F.lit("es")))
+        .otherwise(F.concat(one, F.lit("s")))
+    )
+    return F.array_join(F.transform(words, lambda w, i: F.when(i == F.greatest(head, F.lit(1)) - 1, many).otherwise(w)), " ")
+
+
+def slug(column: Column) -> Column:
+    """Lower-case words joined by hyphens."""
+    return F.trim(F.regexp_replace(F.lower(column), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def sanitized_code(column: Column) -> Column:
+    """A code in which all but letters, digits, dots and hyphens are one underscore, with none at the ends."""
+    return F.trim(F.regexp_replace(column, r"[^A-Za-z0-9.\-]+", "_"), F.lit("_"))
+
+
+def header_key(column: Column) -> Column:
+    """Province/Territory as ProvinceTerritory."""
+    words = F.filter(F.split(column, "[^A-Za-z0-9]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
+
+
+def code_range(column: Column) -> tuple[Column, Column, Column]:
+    """Letters, start and stop of QA76-90 or QA76; start and stop are null without numbers."""
+    part = lambda i: F.regexp_extract(column, r"^([A-Z]+)(?:([0-9]+(?:\.[0-9]+)?)(?:-([0-9]+(?:\.[0-9]+)?))?)?", i)
+    start = F.nullif(part(2), F.lit("")).cast("double")
+    return part(1), start, F.coalesce(F.nullif(part(3), F.lit("")).cast("double"), start)
+
+
+def anchored(text: Column, anchor: Column, before: int = 200, size: int = 10_000) -> Column:
+    """A window of the text from a little before the anchor on, ignoring case; from the start where the anchor isn't found."""
+    at = F.greatest(F.instr(F.lower(text), F.lower(anchor)) - before, F.lit(1))
+    return F.substring(text, at, F.lit(size))
+
+
+def fragment(url: Column) -> Column:
+    """What follows the # of a URL; empty without one."""
+    return F.regexp_extract(url, "#(.*)$", 1)
+
+
+def french_url(url: Column) -> Column:
+    """The French page of an English one, by the language part of its path or name."""
+    return F.regexp_replace(F.regexp_replace(url, "/en/", "/fr/"), r"-eng(\.[a-z]+)?($|\?)", "-fra$1$2")
+
+
+def base_folder(url: Column) -> Column:
+    """A URL up to its last slash."""
+    return F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), "^(.*/)", 1)
+
+
+def url_joined(base: Column, href: Column) -> Column:
+    """A link of a page as a whole URL: absolute, from the host's root, or from the page's folder."""
+    host = F.regexp_extract(base, r"^([a-z][a-z0-9+.\-]*://[^/?#]*)", 1)
+    return F.when(F.rlike(href, F.lit(r"^[a-z][a-z0-9+.\-]*://")), href).when(F.startswith(href, F.lit("/")), F.concat(host, href)).otherwise(F.concat(base_folder(base), href))
+
+
+def url_id(url: Column, name: str) -> Column:
+    """The value of a parameter of a URL."""
+    return F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
+
+
+def best_label(labels: Column, languages: list[str], *fields: Column) -> Column:
+    """Of a map of labels by language that of the first language that has one, else the first field that isn't empty."""
+    full = lambda x: F.nullif(F.trim(x), F.lit(""))
+    return F.coalesce(*(full(F.try_element_at(labels, F.lit(x))) for x in languages), *map(full, fields))
+
+
+def alpha2(column: Column) -> Column:
+    """The country of a code like CA-ON; null where it isn't one."""
+    return F.nullif(F.regexp_extract(column, "^([A-Z]{2})(?:-|$)", 1), F.lit(""))
+
+
+def http_date(column: Column) -> Column:
+    """The day of `Wed, 21 Oct 2015 07:28:00 GMT`; null for what isn't a date."""
+    return F.try_to_timestamp(F.regexp_extract(column, r"^[A-Za-z]{3}, ([0-9]{2} [A-Za-z]{3} [0-9]{4} [0-9:]{8}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss")).cast("date")
+
+
+def folded(column: Column) -> Column:
+    """A sort key without accents and case."""
+    plain = F.translate(F.lower(text_of(column)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    return F.regexp_replace(plain, "œ", "oe")
+
+
+def any_of(queries: Column) -> Column:
+    """Queries combined: one that looks for any of them."""
+    return F.array_join(F.array_distinct(queries), " OR ")

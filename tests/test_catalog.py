@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from glossweave import catalog
+from glossweave import catalog, catalog_rules  # noqa: F401  (registers its queries)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
