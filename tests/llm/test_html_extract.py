@@ -63,3 +63,51 @@ def test_paths_choose_in_articles():
     got = main_text(f"<article><h1>Head</h1>{story}{points}{more}{links}</article>")
     assert got == "\n".join(["Head", *[f"{LONG} {LONG} {LONG}"] * 8, "one", "two"])
     assert main_text("<article><h1>Head</h1></article>") == "Head"
+
+
+def test_names_in_articles():
+    story = f"<p>{LONG} {LONG}</p>" * 6
+    page = f"<article><div class='entry-header'><h1>Head</h1></div><section class='social-history'>{story}</section><div class='comment-list'>{story}</div></article>"
+    assert main_text(page) == "\n".join(["Head", *[f"{LONG} {LONG}"] * 6])
+    assert main_text(f"<div class='search-results'>{story}</div><div class='search-box'>{LONG}</div>") == "\n".join([f"{LONG} {LONG}"] * 6)
+    assert main_text(f"<div class='site-header'>{LONG}</div>{story}") == "\n".join([f"{LONG} {LONG}"] * 6)
+
+
+def test_ratios_are_plain_means():
+    from glossweave.llm.html_extract import PRIOR, SMOOTH, nodes, ratios
+
+    page = f"<article><p>{LONG}</p><p>Short</p><div class=x>{LONG} {LONG}</div><p>a, b</p></article><p>{LONG}"
+    full = [(e, t) for e, _, t in nodes(page)]
+    by_path = {}
+    for e, t in full:
+        by_path.setdefault(e.path, []).append((len(t), sum(t.count(c) for c in ".,;:!?")))
+    raw = [[sum(x[j] for x in by_path[e.path]) / len(by_path[e.path]) for j in (0, 1)] for e, _ in full]
+    fused = {}
+    for i, (e, _) in enumerate(full):
+        near = [raw[min(max(i + d, 0), len(raw) - 1)] for d in (-2, -1, 0, 1, 2)]
+        length, marks = (max(raw[i][j], sum(w * x[j] for w, x in zip(SMOOTH, near, strict=True))) for j in (0, 1))
+        fused.setdefault(e.path, []).append(length * (marks + 0.1))
+    assert len(fused) == 3 and PRIOR > 1
+    assert all(abs(ratios(full)[p] - sum(v) / len(v)) < 1e-9 for p, v in fused.items())
+
+
+def test_deep_pages():
+    import time
+    import tracemalloc
+
+    def peak(n):
+        tracemalloc.start()
+        assert main_text("<div class='ad-x main'>" * n + f"<p>{LONG}</p><p>{LONG}</p>" * 50) == "\n".join([LONG] * 100)
+        out = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out
+
+    assert peak(20_000) < 16 * peak(2_000)
+    began = time.time()
+    assert main_text("<span>" * 50_000 + "<hr></b>" * 50_000 + "x") == "x"
+    assert time.time() - began < 20
+
+
+def test_very_long_page():
+    story = f"<p>{LONG}</p>" * 40_000
+    assert main_text(f"<nav>Menu</nav><article>{story}</article>") == "\n".join([LONG] * 40_000)
