@@ -79,14 +79,18 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, limit: int = TRAINING_DOCUMENTS) -> Weights | None:
-    """Weights from at most limit labelled documents; None where there are none. A document with several labels has the highest."""
+    """Weights from at most limit labelled documents; None where there are none.
+
+    A document with several labels has the highest; rows that share an id are one document, with the least of their texts.
+    """
     ids = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
     ids = ids.orderBy(F.xxhash64(key), key).limit(limit)  # limit bounds what is broadcast
-    rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(ids), key).select("_text", "_label", F.xxhash64(key).alias("_order"))
+    rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(ids), key)
+    rows = rows.groupBy(key).agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).select("_text", "_label", F.xxhash64(key).alias("_order"))
 
     def run(table: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            table = table.sort_by([("_order", "ascending"), ("_text", "ascending")])
+            table = table.sort_by([("_order", "ascending"), ("_text", "ascending"), ("_label", "ascending")])
             w = fit(table["_text"], table["_label"].to_numpy().astype(float))
             return pa.table({"at": [w.at.tobytes()], "weight": [w.weight.tobytes()], "bias": [w.bias]})
 
