@@ -19,8 +19,10 @@ FEATURES = 1 << 16
 PENALTY = 12.0
 #: Overlapping n-grams count the same evidence several times.
 TEMPER = 0.4
-#: Languages that a task counts at once, and whose emissions are computed at once.
+#: Languages that a task counts at once.
 LANGUAGES = 256
+#: Emissions that are computed at once, n-grams times languages.
+CELLS = 1 << 21
 #: A language is written in the scripts that at least this share of its words begin with.
 SCRIPT_SHARE = 0.02
 UNDETERMINED = "und"
@@ -56,7 +58,7 @@ class Words:
         at = np.flatnonzero(LETTERS[data])
         three = plain[at] | plain[at + 1] << 8 | plain[at + 2] << 16
         four = three | plain[at + 3] << 24
-        spread = lambda x, by: ((x * np.uint32(by)) >> np.uint32(16)).astype(np.int64)
+        spread = lambda x, by: ((x * np.uint32(by)) >> np.uint32(16)).astype(np.uint16)
         self.features = np.stack([spread(three, 0x9E3779B1), spread(four ^ (four >> np.uint32(15)), 0x85EBCA77)], 1)
         length = self.ends - self.starts
         self.begin = np.cumsum(length) - length
@@ -81,13 +83,18 @@ class Model:
         self.barred = np.where(used.T | ~used.any(0)[:, None], 0, -1e6).astype(np.float32)
 
     def emissions(self, w: Words) -> np.ndarray:
-        if not len(w.starts):
-            return np.zeros((0, len(self.names)), np.float32)
-        out = []
-        for k in range(0, len(self.names), LANGUAGES):
-            weights = self.weights[:, k : k + LANGUAGES]
-            out.append(np.add.reduceat(weights[w.features[:, 0]] + weights[w.features[:, 1]], w.begin, axis=0))
-        return np.concatenate(out, 1) + self.barred[w.scripts]
+        out = np.empty((len(w.starts), len(self.names)), np.float32)
+        stop, first = np.append(w.begin[1:], len(w.features)), 0
+        while first < len(out):
+            # words of about CELLS n-grams times languages; a longer word has its languages in turn
+            last = max(first + 1, int(np.searchsorted(stop, w.begin[first] + CELLS // len(self.names), "right")))
+            f = w.features[w.begin[first] : stop[last - 1]]
+            wide = max(1, CELLS // len(f))
+            for k in range(0, len(self.names), wide):
+                weights = self.weights[:, k : k + wide]
+                out[first:last, k : k + wide] = np.add.reduceat(weights[f[:, 0]] + weights[f[:, 1]], w.begin[first:last] - w.begin[first], axis=0)
+            first = last
+        return out + self.barred[w.scripts]
 
     def path(self, emissions: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The best language of each word; all documents advance together."""
@@ -145,7 +152,7 @@ def train(docs: DataFrame, text: str, lang: str) -> Model | None:
                 of_word = np.repeat(langs[row:last], np.diff(w.first))
                 of_gram = np.repeat(of_word, w.length)
                 for k in range(2):
-                    counts += np.bincount(of_gram * FEATURES + w.features[:, k], minlength=counts.size).reshape(counts.shape)
+                    counts += np.bincount(of_gram * FEATURES + w.features[:, k].astype(np.int64), minlength=counts.size).reshape(counts.shape)
                 scripts += np.bincount(of_word * scripts.shape[1] + w.scripts, minlength=scripts.size).reshape(scripts.shape)
         yield from rows()
 
@@ -185,13 +192,18 @@ def languages(docs: DataFrame, model: Model | None, text: str = "text", column:
             rows: list[dict] = []
             data, offsets = tx.string_bytes(batch.column(text))
             for _, _, part, offs in tx.chunks(data, offsets, _VITERBI_BYTES) if m else ():
-                pieces = [Words(p, o) for *_, p, o in tx.chunks(part, offs)]
-                sizes = [len(w.starts) for w in pieces]
-                first = np.concatenate([[0], *(w.first[1:] + s for w, s in zip(pieces, np.cumsum([0, *sizes]), strict=False))]).astype(np.int64)
-                path = m.path(np.concatenate([m.emissions(w) for w in pieces]), first)
-                shift = np.cumsum([0, *(o[-1] for *_, o in tx.chunks(part, offs))])
-                starts = np.concatenate([w.starts + s for w, s in zip(pieces, shift, strict=False)])
-                ends = np.concatenate([w.ends + s for w, s in zip(pieces, shift, strict=False)])
+                first, starts, ends, score, shift, n = [[0]], [], [], [], 0, 0
+                for *_, p, o in tx.chunks(part, offs):  # only one piece's n-grams at a time
+                    w = Words(p, o)
+                    first.append(w.first[1:] + n)
+                    starts.append(w.starts + shift)
+                    ends.append(w.ends + shift)
+                    score.append(m.emissions(w))
+                    shift, n = shift + o[-1], n + len(w.starts)
+                    del w
+                first, starts, ends = np.concatenate(first).astype(np.int64), np.concatenate(starts), np.concatenate(ends)
+                path = m.path(np.concatenate(score), first)
+                del score
                 for k in range(len(offs) - 1):
                     rows.append(_label(m.names, path[first[k] : first[k + 1]], starts[first[k] : first[k + 1]] - offs[k], ends[first[k] : first[k + 1]] - offs[k], part[offs[k] : offs[k + 1]]))
             if not m:
