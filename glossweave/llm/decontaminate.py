@@ -118,7 +118,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     an item; an item of 1 to 12 words is one window. A word inside any occurrence of a window is hit. spans are the
     maximal runs of hit words, by word number. Null or empty texts have no words and no hits; items without words
     have no windows; repeated items hit alike, and those that share an id count once; an item whose id is null hits but
-    is not in items. An empty benchmark hits nothing. A column of docs named like the new one is replaced.
+    is not in items. An empty benchmark hits nothing.
+    A text of more than 1 MiB is a chunk of its own and read whole. A column of docs named like the new one is replaced.
     """
     spec = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:bigint,stop:bigint>>>"
     out = docs.drop(column)

@@ -385,6 +385,7 @@ def cut_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     number. Null and empty texts have no words; texts of under 13 words lose none. A row whose id is null loses none and
     makes no other row lose any; rows that share an id don't count as earlier than each other. An empty table gives an
     empty one. Other columns are left out, so none can clash.
+    A text of more than 1 MiB is a chunk of its own and read whole.
     """
     n = block_count(docs, text)
     base = docs.select(F.col(key).alias("_key"), F.col(key).cast("long").alias("k"), F.col(text).alias("t"))

@@ -252,6 +252,7 @@ def extracted(pages: DataFrame, html: str = "html", column: str = "main_text") -
     Character references are decoded. Null, empty and text-free pages give an empty text; malformed markup is read as far
     as it goes: an unclosed tag or comment ends with the page. Pages that repeat give the same; a column of pages named
     like the new one is replaced.
+    Pages of any length are read whole, one at a time.
     """
     base = pages.drop(column)
 

@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     of 1 to 4 words has one shingle, the whole. Null and empty texts and those of white space have an empty set and no links.
     Rows that share an id are one node; a row whose id is null has a null component and no links. Other columns are left
     out. An empty table gives an empty one.
+    A text of more than 1 MiB is a chunk of its own and read whole.
     """
     blocks = block_count(docs, text)
     n = blocks * BUCKETS

@@ -179,7 +179,8 @@ def languages(docs: DataFrame, model: Model | None, text: str = "text", column:
 
     spans are byte ranges of the text from the first word of a run of one language to the last; lang is the language with
     most letters' bytes, the first by name among equals, score its share of these. Null texts, and texts without a letter,
-    are `und` with score 0 and no spans, as are all where the model is None. Repeated rows are labelled alike; a column
+    are `und` with score 0 and no spans, as are all where the model is None.
+    A text of more than 1 MiB is a chunk of its own and read whole. Repeated rows are labelled alike; a column
     of docs named like the new one is replaced.
     """
     base = docs.drop(column)

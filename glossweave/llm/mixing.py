@@ -134,7 +134,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     Sources in code point order, null last, weigh 1, 2, 3, repeating. Null texts have size 0 and are taken 0 times, as are
     all documents of a source without words. Rows that repeat are documents of their own; equal rows may be taken
-    differently. No document is taken more than cap times its size. An empty table gives an empty one.
+    differently. No document is taken more than cap times its size.
+    A text of more than 1 MiB is a chunk of its own and read whole. An empty table gives an empty one.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("_text"))
     # a few bytes a document, read by each step below

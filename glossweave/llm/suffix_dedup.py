@@ -346,7 +346,8 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     Every byte that a 200-byte string covers that starts anywhere else too, in the same document or another, is removed;
     strings are judged on the input and never cross documents. spans are the maximal removed runs, by byte. Null and empty
     texts have no bytes; texts under 200 bytes lose none; repeated rows and rows with null ids are documents of their own;
-    an empty table gives an empty one. A column of docs named like the new one is replaced.
+    an empty table gives an empty one.
+    A text of more than 1 MiB is a chunk of its own and read whole. A column of docs named like the new one is replaced.
     """
     n = block_count(docs, text)
     rest = [c for c in docs.columns if c not in (text, column)]

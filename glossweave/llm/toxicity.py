@@ -101,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, l
 def toxicity(docs: DataFrame, weights: Weights | None, text: str = "text", column: str = "toxicity") -> DataFrame:
     """docs with a column of the probability, 0 to 1, that the text is toxic; higher: likelier.
 
-    Null and empty texts have the model's bias alone; where no model could be learned, all are 0. Repeated rows score alike;
+    Null and empty texts have the model's bias alone; where no model could be learned, all are 0.
+    A text of more than 1 MiB is a chunk of its own and read whole. Repeated rows score alike;
     a column of docs named like the new one is replaced.
     """
     base = docs.drop(column)
