@@ -263,7 +263,7 @@ def taxonomy(orders: DataFrame, links: DataFrame, pages: DataFrame, other: DataF
     """
     none = F.lit(None).cast("string")
     top = orders.select("code", "title", "description", none.alias("is_a"), F.lit(1).alias("level"), none.alias("other_title"), none.alias("other_description"))
-    folder = F.upper(F.regexp_extract("href", r"/([A-Za-z]+)/[^/]+\.html$", 1))
+    folder = F.upper(F.regexp_extract("href", r"://[^/]+/(?:[^/]+/)*([^/]+)/[^/]+\.html$", 1))
     named = links.join(orders.select("url", F.col("code").alias("_order")), "url").withColumn("_folder", folder).filter("_folder != ''")
     groups = named.select("_order", F.concat_ws(".", "_order", "_folder").alias("_group"), F.col("name").alias("_name"), F.col("href").alias("url"))
     translated = other.select("url", "ord", F.col("title").alias("other_title"), F.col("description").alias("other_description"))

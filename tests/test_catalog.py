@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from glossweave import catalog, catalog_readers, catalog_rules  # noqa: F401  (register their queries)
+from glossweave import catalog, catalog_handbooks, catalog_readers, catalog_rules  # noqa: F401  (register their queries)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
