@@ -40,7 +40,7 @@ def test_contamination(spark, monkeypatch):
     docs += [(5, docs[9][1])]
     frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, contamination string, n_words int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size in (dc.SLICE_BYTES, 600):  # one slice, several
+    for size in (dc.SLICE_BYTES, 600):  # broadcast, joined
         monkeypatch.setattr(dc, "SLICE_BYTES", size)
         got = dc.contamination(frame, bench).select("doc_id", "contamination.*").collect()
         assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_words, x.n_hit, sorted(x["items"])) for x in got) == brute(docs, items)
