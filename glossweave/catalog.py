@@ -580,9 +580,10 @@ def jaccard_assignment(table, spark):
 
 @query()
 def fuzzy_best_match(table, spark):
-    """Part types matched with a glossary by sequence ratio."""
-    p = table("part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("title"))
-    return matching.best_ratio(p, [("a", "standard brass"), ("b", "promo tin"), ("c", "economy steel")])
+    """Names of parts matched with the types of parts by sequence ratio."""
+    part = table("part")
+    types = part.select("p_type").distinct().select((F.row_number().over(Window.orderBy("p_type")) - 1).alias("ord"), F.col("p_type").alias("key"), F.col("p_type").alias("text"))
+    return matching.best_ratio(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), types)
 
 
 _SCALE = [("quality", "ing"), ("quality", "tion"), ("size", "ment"), ("size", "eau"), ("time", "keit"), ("time", "ung")]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as t
-from ..plans.stages import bounded
+from ..plans.stages import FEW, bounded
 
 
 def range_bucket(rows: DataFrame, ranges: DataFrame, column: str) -> DataFrame:
@@ -61,19 +62,55 @@ def assigned(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame
     return first.withColumn("m", best("rid", "lid")).filter("m = 1").select("lid", "rid", "score")
 
 
-def best_ratio(left: DataFrame, glossary: list[tuple[str, str]], least: float = 0.65) -> DataFrame:
-    """left (id, title) with the glossary's entry (key, text) of the best sequence ratio of at least `least`; the glossary is small."""
+#: Glossary entries that a title is compared with in one row.
+ENTRIES = 2_000
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """How many characters of each of 64 classes texts have: the sum of two texts' minima is no less than what a matching can pair."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, x in enumerate(texts):
+        np.add.at(out[i], np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, 1)
+    return out
+
+
+def _best(titles: list[str], entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each title the highest sequence ratio with an entry, and the first entry that has it; -1 without any over 0."""
+    have, size = _letters(titles), np.array([len(x) for x in titles])
+    ratio, which = np.zeros(len(titles)), np.full(len(titles), -1)
+    matcher = SequenceMatcher(None)
+    for k, (entry, own) in enumerate(zip(entries, _letters(entries), strict=True)):
+        bound = 2.0 * np.minimum(have, own).sum(axis=1) / np.maximum(size + len(entry), 1)
+        matcher.set_seq2(entry)
+        for i in np.flatnonzero(bound > ratio):
+            matcher.set_seq1(titles[i])
+            if (r := matcher.ratio()) > ratio[i]:
+                ratio[i], which[i] = r, k
+    return ratio, which
+
+
+def best_ratio(left: DataFrame, glossary: DataFrame, least: float = 0.65) -> DataFrame:
+    """left (id, title) with the key of the glossary's entry (ord, key, text) of the best sequence ratio, if it is at least `least`, and the ratio.
+
+    Equal titles are compared once, with a block of the glossary a row; entries whose letters can't reach the best ratio so far are
+    passed over. Case doesn't count; of equal ratios the first entry counts. Null and empty titles, and all titles with an empty glossary, have the ratio 0.
+    """
+    key = F.lower(F.coalesce("title", F.lit("")))
+    blocks = glossary.filter("text IS NOT NULL").groupBy(F.floor(F.col("ord") / ENTRIES).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("ord", "key", F.lower("text").alias("text")))).alias("entries"))
+    pairs = left.select(key.alias("_t")).distinct().crossJoin(bounded(blocks, FEW // ENTRIES))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys, scores = [], []
-            for title in frame["title"].fillna(""):
-                best = max(((SequenceMatcher(None, title.lower(), g.lower()).ratio(), k) for k, g in glossary), key=lambda x: x[0], default=(0.0, None))
-                keys.append(best[1] if best[0] >= least else None)
-                scores.append(round(best[0], 4))
-            yield frame.assign(match=keys, ratio=scores)
-
-    return left.select("id", "title").mapInPandas(run, "id bigint, title string, match string, ratio double")
+            for _, part in frame.groupby("_g"):
+                entries, titles = part["entries"].iloc[0], part["_t"].tolist()
+                ratio, which = _best(titles, [e["text"] for e in entries])
+                found = [entries[k] if k >= 0 else None for k in which]
+                yield pd.DataFrame({"_t": titles, "ratio": ratio, "ord": [e["ord"] if e else None for e in found], "key": [e["key"] if e else None for e in found]})
+
+    scored = pairs.mapInPandas(run, "_t string, ratio double, ord long, key string").filter("ratio > 0")
+    best = scored.groupBy("_t").agg(F.max_by(F.struct("ratio", "key"), F.struct("ratio", -F.col("ord"))).alias("_b"))
+    both = left.select("id", "title", key.alias("_t")).join(best, "_t", "left")
+    return both.select("id", "title", F.when(F.col("_b.ratio") >= least, F.col("_b.key")).alias("match"), F.round(F.coalesce("_b.ratio", F.lit(0.0)), 4).alias("ratio"))
 
 
 def scale_matches(texts: DataFrame, scales: DataFrame) -> DataFrame:
