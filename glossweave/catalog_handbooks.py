@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .catalog import query
 from .catalog_readers import _listed, _nations, _parts
 from .operators import places
-from .sources import handbooks, sinks
+from .sources import handbooks, readers, sinks
 
 _k = F.col
 _HEAD = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:skos="http://www.w3.org/2004/02/skos/core#">'
@@ -229,3 +229,23 @@ def registry_diagram(table, spark):
     """Diagrams of the sections of registries."""
     sections = table("part").select(_k("p_brand").alias("url"), _k("p_size").alias("ord")).distinct()
     return sinks.diagram(sections.select("url", "ord", F.concat(F.lit("Size "), "ord", F.lit(" (all)")).alias("section"), F.array(F.lit("A"), F.lit("B &amp; C")).alias("names")), "Record")
+
+
+_ADDRESSES = [
+    "AGROVOC_c_", "http://snomed.info/id/", "http://purl.obolibrary.org/obo/ENVO_0000", "ENVO:0000", "https://www.nrcs.usda.gov/a/NASIS%207.4.pdf", "https://www.fao.org/docs/CXS_192e.pdf", "https://www.wikidata.org/wiki/Q207810",
+    "https://zenodo.org/records/1/files/CRediT.pdf", "https://sis.agr.gc.ca/cansis/glossary/", "https://www.statcan.gc.ca/en/search?datatype=classification", "ISO_COUNTRY_CA", "https://www.iso.org/obp/ui/en/#iso:code:3166:CA",
+    "GeoNames_ADM1_CA", "https://download.geonames.org/export/dump/admin2Codes.txt", "GeoNames_ADM3ADM4_CA", "GeoNames_countries", "GeoWiki_ADM1_CA", "https://x.org/tdwg_dwc_simple.xsd", "https://www.nrcs.usda.gov/book.pdf",
+    "https://sis.agr.gc.ca/cansis/nsdb/slc/index.html", "https://sis.agr.gc.ca/cansis/taxa/cssc3/index.html", "https://terminology.hl7.org/CodeSystem-x.html", "https://terminology.hl7.org/codesystems.html", "https://www23.statcan.gc.ca/imdb/p3VD.pl?Function=getVD&x=1",
+    "https://x.org/a.ttl", "https://x.org/a.sssom.tsv?x", "https://x.org/a.yaml", "https://x.org/a",
+]
+_HEADS = ["", '{"resourceType": "ValueSet"}', "<rdf:RDF>", "<html><table class='codes'>", "Level,Code", ",title,description", "<HTML>"]
+_SQL_RULES = " ".join("WHEN regexp_matches({}, '{}') THEN '{}'".format(where, pattern.replace("'", "''"), kind) for where, pattern, kind in readers.DETECT)
+
+
+@query(f"""SELECT p_partkey, CASE {_SQL_RULES} ELSE 'FreeText' END AS content_type FROM (SELECT p_partkey, ({_ADDRESSES!r})[p_partkey % {len(_ADDRESSES)} + 1] || CASE WHEN p_partkey % {len(_ADDRESSES)} < 4 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS url, [{", ".join(f"'{h.replace(chr(39), chr(39) * 2)}'" for h in _HEADS)}][p_size % {len(_HEADS)} + 1] AS head FROM part) x""")
+def source_detection(table, spark):
+    """Content types of addresses and heads by the whole chain of rules."""
+    at = _k("p_partkey") % len(_ADDRESSES)
+    url = F.concat(F.get(F.array(*map(F.lit, _ADDRESSES)), at.cast("int")), F.when(at < 4, _k("p_partkey").cast("string")).otherwise(""))
+    head = F.get(F.array(*map(F.lit, _HEADS)), (_k("p_size") % len(_HEADS)).cast("int"))
+    return table("part").select("p_partkey", readers.content_type(url, head).alias("content_type"))

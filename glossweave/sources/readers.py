@@ -180,20 +180,44 @@ def sections(docs: DataFrame, header: str) -> DataFrame:
     return marked.filter("NOT _h AND section IS NOT NULL AND trim(line) != ''").drop("_h")
 
 
-# How a source is recognised, first match first: where to look, the pattern and the content type.
+# How a source is recognised, first match first: where to look, the pattern and the content type. Short names and
+# the addresses of publishers come first, then what the document itself shows, then the kind of file.
 DETECT = (
-    ("url", r"(?i)geonames\.org/.*admin1", "GeoNamesADM1"),
-    ("url", r"(?i)geonames\.org/.*countryInfo", "GeoNamesCountries"),
-    ("url", r"(?i)\.owl($|\?)", "OWL"),
-    ("url", r"(?i)\.sssom\.tsv($|\?)", "SSSOM"),
-    ("head", r'(?s)"resourceType"\s*:\s*"CodeSystem"', "CodeSystem"),
-    ("head", r'(?s)"resourceType"\s*:\s*"ValueSet"', "ValueSet"),
-    ("head", r"(?s)<rdf:RDF", "OWL"),
-    ("head", r"(?is)<table[^>]*class=.?codes", "CodeTable"),
-    ("head", r"(?is)<dl\b", "DefinitionList"),
-    ("head", r"(?i)^﻿?(level|niveau)", "Classification"),
-    ("url", r"(?i)\.ya?ml($|\?)", "LinkML"),
-    ("head", r"(?is)<html", "HTML"),
+    ("url", r"^(?:https?://aims\.fao\.org/aos/agrovoc/|AGROVOC_).", "Thesaurus"),
+    ("url", r"^https?://snomed\.info/id/[0-9]+", "OntologyAPI"),
+    ("url", r"^(?:https?://purl\.obolibrary\.org/obo/)?[A-Za-z]+[_:][0-9]{4,}$", "OntologyAPI"),
+    ("url", r"(?i)nrcs\.usda\.gov.*NASIS.*\.pdf$", "SoilHandbook"),
+    ("url", r"fao\.org.*CXS(?:[_+ ]|%20)192", "FoodCodes"),
+    ("url", r"(?i)wikidata\.org/wiki/Q207810|wikidata\.org/sparql.*P628", "Additives"),
+    ("url", r"(?i)zenodo\.org/(?:api/)?records/.*credit", "Roles"),
+    ("url", r"(?i)loc\.gov/catdir/cpso/lcco/?(?:#.*)?$", "LibraryClassification"),
+    ("url", r"(?i)sis\.agr\.gc\.ca/cansis/glossary/", "DefinitionList"),
+    ("url", r"(?i)statcan\.gc\.ca/.*datatype=classification", "Catalog"),
+    ("url", r"(?i)^ISO_COUNTRY(?:_[A-Z]{2})?$|iso\.org/obp/ui/.*#iso:code:3166:[A-Z]{2}\s*$|iso\.org/iso-3166-country-codes", "Country"),
+    ("url", r"(?i)^GeoNames_ADM1_[A-Z]{2}$|geonames\.org/.*admin1", "GeoNamesADM1"),
+    ("url", r"(?i)^GeoNames_ADM2_[A-Z]{2}$|geonames\.org/.*admin2", "GeoNamesADM2"),
+    ("url", r"(?i)^GeoNames_ADM3ADM4_[A-Z]{2}$", "GeoNamesADM34"),
+    ("url", r"(?i)^GeoNames_countries$|geonames\.org/.*countryInfo", "GeoNamesCountries"),
+    ("url", r"(?i)^GeoWiki_", "GeoWiki"),
+    ("url", r"(?i)tdwg[_.-]dwc[_.-]simple\.xsd", "FieldRegistry"),
+    ("url", r"(?i)nrcs\.usda\.gov.*\.pdf$", "FieldBook"),
+    ("url", r"^https://sis\.agr\.gc\.ca/cansis/nsdb/(?:soil|.*/?snt/|.*/?slt/|.*/?slc/)", "AttributePages"),
+    ("url", r"sis\.agr\.gc\.ca.*/taxa/cssc3/", "Taxonomy"),
+    ("url", r"terminology\.hl7\.org/(?:[^/]+/)*(?:CodeSystem|ValueSet)-[^/]*\.html$", "CodeTable"),
+    ("url", r"terminology\.hl7\.org/(?:[^/]+/)*[^/]*\.html$", "Listing"),
+    ("url", r"(?i)//www12\.statcan\.gc\.ca/census-recensement/[^/]+/ref/dict/tab/index-(?:eng|fra)\.cfm", "CensusTable"),
+    ("url", r"statcan\.gc\.ca.*p3VD\.pl.*Function=getVD", "IndentedList"),
+    ("url", r"(?i)\.(?:owl|ofn|rdf|ttl|n3)(?:$|[?#])", "OWL"),
+    ("url", r"(?i)\.sssom\.tsv(?:$|[?#])", "SSSOM"),
+    ("head", r'"resourceType"\s*:\s*"CodeSystem"', "CodeSystem"),
+    ("head", r'"resourceType"\s*:\s*"ValueSet"', "ValueSet"),
+    ("head", r"<rdf:RDF", "OWL"),
+    ("head", r"(?i)<table[^>]*class=.?codes", "CodeTable"),
+    ("head", r"(?i)<dl\b", "DefinitionList"),
+    ("head", r"(?i)^\x{FEFF}?(?:level|niveau)", "Classification"),
+    ("head", r"(?i)^\x{FEFF}?\s*,\s*title\s*,\s*description", "Picklist"),
+    ("url", r"(?i)\.ya?ml(?:$|[?#])", "LinkML"),
+    ("head", r"(?i)<html", "HTML"),
 )
 
 

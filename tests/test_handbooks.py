@@ -124,3 +124,19 @@ def test_taxonomy(spark):
     other = h.group_pages(docs(url, "<h1>Brunisol (BM)</h1><section><h2>Orthique (O.BM)</h2></section>"))
     got = rows(h.taxonomy(orders, links, pages, other), "code", "is_a", "level", "other_title")
     assert got == [("BR", None, 1, None), ("BR.MB", "BR", 2, "Brunisol"), ("O.MB", "BR.MB", 3, "Orthique")]
+
+
+def test_detection(spark):
+    from glossweave.sources.readers import content_type
+
+    cases = {
+        "AGROVOC_c_1": "Thesaurus", "https://snomed.info/id/12": "OntologyAPI", "ENVO_00010483": "OntologyAPI", "https://www.nrcs.usda.gov/x/NASIS%207.pdf": "SoilHandbook", "https://www.nrcs.usda.gov/x/book.pdf": "FieldBook",
+        "https://www.fao.org/x/CXS_192_2015e.pdf": "FoodCodes", "https://query.wikidata.org/sparql?P628": "Additives", "https://www.loc.gov/catdir/cpso/lcco/": "LibraryClassification", "ISO_COUNTRY": "Country",
+        "https://www.iso.org/obp/ui/#iso:code:3166:CA": "Country", "GeoNames_ADM2_CA": "GeoNamesADM2", "GeoWiki_ADM2_CA": "GeoWiki", "https://terminology.hl7.org/5.0/ValueSet-x.html": "CodeTable", "https://terminology.hl7.org/x.html": "Listing",
+        "https://sis.agr.gc.ca/cansis/nsdb/soil/v2/snt/a.html": "AttributePages", "https://x/a.OWL?b": "OWL", "https://x/a.sssom.tsv": "SSSOM", "x.yml": "LinkML", "x.txt": "FreeText",
+    }
+    got = spark.createDataFrame([(u,) for u in cases], "u string").select("u", content_type(F.col("u"), F.lit("")).alias("c")).collect()
+    assert dict(map(tuple, got)) == cases
+    heads = {"﻿Niveau,Code": "Classification", ",title,description,source": "Picklist", '{"resourceType" : "ValueSet"}': "ValueSet", "<HTML><dl>": "DefinitionList", "<html>": "HTML", "": "FreeText"}
+    got = spark.createDataFrame([(h,) for h in heads], "h string").select("h", content_type(F.lit("x"), F.col("h")).alias("c")).collect()
+    assert dict(map(tuple, got)) == heads
