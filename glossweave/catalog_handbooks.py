@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .catalog import query
 from .catalog_readers import _listed, _nations, _parts
 from .operators import places
-from .sources import handbooks, readers, sinks
+from .sources import crawl, handbooks, readers, sinks
 
 _k = F.col
 _HEAD = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:skos="http://www.w3.org/2004/02/skos/core#">'
@@ -249,3 +249,24 @@ def source_detection(table, spark):
     url = F.concat(F.get(F.array(*map(F.lit, _ADDRESSES)), at.cast("int")), F.when(at < 4, _k("p_partkey").cast("string")).otherwise(""))
     head = F.get(F.array(*map(F.lit, _HEADS)), (_k("p_size") % len(_HEADS)).cast("int"))
     return table("part").select("p_partkey", readers.content_type(url, head).alias("content_type"))
+
+
+def _site(urls: list[str]) -> list[str | None]:
+    """A made-up site: /en/N.html links to /en/N0.html to /en/N4.html, to itself, to its start and to another site; numbers of three digits are missing."""
+    out: list[str | None] = []
+    for u in urls:
+        number = u.rsplit("/", 1)[1].removesuffix(".html")
+        own = "".join(f'<a class="x" href="{number}{i}.html#part">{i}</a>' for i in range(5))
+        out.append(None if len(number) > 2 else f'<p>{number}</p>{own}<a href="#top">top</a><a href="/en/{number}.html">self</a><a href="http://other/1.html">no</a><a href="mailto:x">mail</a>')
+    return out
+
+
+@query("""WITH s AS (SELECT DISTINCT CAST(1 + n_regionkey AS VARCHAR) AS n FROM nation), d AS (SELECT CAST(i AS VARCHAR) AS i FROM range(5) t(i)),
+p AS (SELECT n, 0 AS level FROM s UNION ALL SELECT n || i, 1 FROM s, d UNION ALL SELECT n || d.i || e.i, 2 FROM s, d, d AS e)
+SELECT 'http://h/' || lang || '/' || n || '.html' AS url, 'h_' || lang || '_' || n || '.html-' || substring(sha256('http://h/' || lang || '/' || n || '.html'), 1, 16) || '.html' AS entry, level, level < 2 AS found FROM p, (VALUES ('en'), ('fr')) AS v(lang)""")
+def crawl_pages(table, spark):
+    """Pages of a site in two languages, two levels below the seeds, with the names of those that were found."""
+    seeds = table("nation").select(F.concat(F.lit("http://h/en/"), (_k("n_regionkey") + 1).cast("string"), F.lit(".html")).alias("url"))
+    pages = crawl.crawled(seeds, _site, "^http://h/en/", other=lambda u: F.replace(u, F.lit("/en/"), F.lit("/fr/")))
+    names = crawl.manifest(pages.withColumn("content", F.coalesce("content", F.lit(""))))
+    return pages.join(names, "url").select("url", "entry", "level", _k("content").isNotNull().alias("found"))
