@@ -145,7 +145,9 @@ def sssom(docs: DataFrame) -> DataFrame:
     """
     body = F.regexp_replace(F.regexp_replace("content", r"(?s)\A(?:.*?\n)?---\r?\n", ""), r"(?m)^#.*\n?", "")
     lines = docs.select("url", F.split(F.trim(body), r"\r?\n").alias("l"))
-    rows = lines.select("url", F.split(F.element_at("l", 1), "\t").alias("names"), F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))).alias("ord", "line"))
+    # the names are taken before lines become rows, which would each carry the whole file otherwise
+    named = lines.select("url", F.split(F.element_at("l", 1), "\t").alias("names"), F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))).alias("rest"))
+    rows = named.select("url", "names", F.posexplode("rest").alias("ord", "line"))
     cells = F.split("line", "\t")
     pairs = F.transform(F.col("names"), lambda n, i: F.struct(n.alias("k"), F.get(cells, i).alias("v")))
     m = rows.select("url", "ord", F.map_from_entries(pairs).alias("m"))

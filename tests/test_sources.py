@@ -57,6 +57,17 @@ def test_text_formats(spark):
     assert [r[0] for r in d.collect()] == ["OWL", "ValueSet", "FreeText"]
 
 
+def test_sssom_rows_are_small(spark):
+    """The rows of lines carry the header's names alone, not the file: the generator's input is its only wide row."""
+    docs = frame(spark, "subject_id\tobject_id\n" + "\n".join(f"A:{i}\tB:{i}" for i in range(3000)))
+    found = readers.sssom(docs)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    generate = next(plan.apply(i) for i in range(99) if plan.apply(i).nodeName() == "Generate")
+    carried = {generate.output().apply(i).name() for i in range(generate.output().size())}
+    assert carried == {"url", "names", "ord", "line"}
+    assert rows(found, "ord", "subject_id", "object_id") == [(i, f"A:{i}", f"B:{i}") for i in range(3000)]
+
+
 def test_guard(spark):
     fresh, old = frame(spark, "x" * 90, "x" * 80, "", "new"), frame(spark, "y" * 100, "y" * 100, "y")
     assert rows(readers.guarded(fresh, old), "url") == [("u0",), ("u3",)]
