@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as t
-from ..plans.stages import bounded
+from ..plans.stages import bounded, kept
 
 K1, B = 1.2, 0.75
 
@@ -103,6 +103,22 @@ def index_rows(enums: DataFrame, pvs: DataFrame, catalog: DataFrame) -> DataFram
 OVERFETCH, STEM_CAP = 3, 0.85
 
 
+def stem_postings(asked: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, len, stem, f): how often each document has the stems of asked, and its number of words.
+
+    The list of a document's words ends here: neither the rows of single words nor those sent to Python carry it.
+    """
+    from ..functions.stem import stem
+
+    begins = F.broadcast(asked.agg(F.collect_set(F.expr("substring(stem, 1, greatest(length(stem) - 1, 1))")).alias("_begins")))
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "label", "definition")), F.lit("[a-z0-9]+"), F.lit(0))
+    each = terms.select("id", words.alias("words")).crossJoin(begins)
+    near = F.filter("words", lambda w: F.exists("_begins", lambda b: F.startswith(w, b)))
+    each = each.select("id", F.size("words").alias("len"), near.alias("near")).filter(F.size("near") > 0)
+    found = each.select("id", "len", F.explode("near").alias("word")).withColumn("stem", stem("word"))
+    return found.join(F.broadcast(asked.select("stem").distinct()), "stem", "left_semi").groupBy("id", "len", "stem").agg(F.count("*").alias("f"))
+
+
 def ranked_search(queries: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
     """(qid, id, type, score, rank): terms (id, type, label, definition) that have the stems of all of a query's words.
 
@@ -114,12 +130,8 @@ def ranked_search(queries: DataFrame, terms: DataFrame, k: int = 10) -> DataFram
 
     word = F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("term"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin(*t.STOPWORDS)))).alias("word")
     asked = bounded(queries.select("qid", "term", word).withColumn("stem", stem("word")).select("qid", "term", "stem").distinct())
-    begins = F.broadcast(asked.agg(F.collect_set(F.expr("substring(stem, 1, greatest(length(stem) - 1, 1))")).alias("_begins")))
+    posted = kept(stem_postings(asked, terms))
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "label", "definition")), F.lit("[a-z0-9]+"), F.lit(0))
-    each = terms.select("id", words.alias("words")).crossJoin(begins)
-    near = F.filter("words", lambda w: F.exists("_begins", lambda b: F.startswith(w, b)))
-    found = each.select("id", F.size("words").alias("len"), F.explode(near).alias("word")).groupBy("id", "len", "word").agg(F.count("*").alias("n"))
-    posted = found.withColumn("stem", stem("word")).join(F.broadcast(asked.select("stem").distinct()), "stem", "left_semi").groupBy("id", "len", "stem").agg(F.sum("n").alias("f"))
     stats = terms.select(F.size(words).alias("len")).agg(F.count("*").alias("total"), F.avg("len").alias("mean"))
     df = posted.groupBy("stem").agg(F.count("*").alias("df"))
     needed = asked.groupBy("qid").agg(F.count("*").alias("needed"))
@@ -129,7 +141,8 @@ def ranked_search(queries: DataFrame, terms: DataFrame, k: int = 10) -> DataFram
     every = rows.groupBy("qid", "term", "id").agg(F.sum("part").alias("bm25"), F.count("*").alias("n")).join(F.broadcast(needed), "qid").filter("n = needed")
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("bm25", 9)), "id")
     few = every.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= OVERFETCH * k).withColumn("_best", F.max("bm25").over(Window.partitionBy("qid")))
-    full = with_tokens(few.join(terms, "id").withColumn("label", F.concat_ws(" ", "id", "label"))).withColumn("query_tokens", t.tokens(F.col("term")))
+    # the texts stay where they are: only the candidates travel
+    full = with_tokens(terms.join(bounded(few), "id").withColumn("label", F.concat_ws(" ", "id", "label"))).withColumn("query_tokens", t.tokens(F.col("term")))
     token = t.match_score(F.col("query_tokens"), F.col("term"), F.col("label"), F.col("definition"), F.col("label_tokens"), F.col("definition_tokens"))
     score = F.round(F.greatest(token, F.col("bm25") / F.col("_best") * STEM_CAP), 4)
     return top_k(full.withColumn("score", score).filter("score > 0").select("qid", "id", "type", "score"), k)

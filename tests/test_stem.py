@@ -47,3 +47,32 @@ def test_ranked_search(spark):
                 scored.append((-round(max(part, rank[i] / max(rank.values()) * 0.85), 4), kind != "enum", i))
         want |= {(q, i): -s for s, _, i in sorted(scored)[:2]}
     assert got == want and {q for q, _ in got} == {0, 2}
+
+
+def _nodes(plan):
+    found, i = [], 0
+    while (node := plan.apply(i)) is not None:
+        found.append(node)
+        i += 1
+    return found
+
+
+def test_ranked_search_moves_no_texts(spark):
+    """Rows of single words don't carry their document's words, and candidates go to the texts, not texts to the candidates."""
+    from glossweave.operators.search import ranked_search, stem_postings
+
+    terms = spark.createDataFrame([("d1", "enum", "Drained soils", "drains soil"), ("d2", "term", "soil", "drained")], "id string, type string, label string, definition string")
+    asked = spark.createDataFrame([(0, "drained soil", "drain"), (0, "drained soil", "soil")], "qid int, term string, stem string")
+    found = stem_postings(asked, terms)
+    for node in _nodes(found._jdf.queryExecution().optimizedPlan()):
+        if node.nodeName() == "Generate":
+            assert {node.output().apply(i).name() for i in range(node.output().size())} == {"id", "len", "word"}
+    assert sorted(map(tuple, found.select("id", "len", "stem", "f").collect())) == [("d1", 4, "drain", 2), ("d1", 4, "soil", 2), ("d2", 2, "drain", 1), ("d2", 2, "soil", 1)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = ranked_search(spark.createDataFrame([(0, "drained soil")], "qid int, term string"), terms)
+        assert "SortMergeJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+        assert {r.id for r in ranked.collect()} == {"d1", "d2"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
